@@ -125,6 +125,19 @@ def v_marks(spark, sf_dir) -> DataFrame:
     return out.withColumns({"area": (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), "stroke": F.lit(2.0)})
 
 
+def v_written(spark, sf_dir) -> DataFrame:
+    """Letter boxes on a rising line, some raised, cut or stretched, with a dot flag."""
+    b = v_char_boxes(spark, sf_dir)
+    code, third = F.ascii("char"), F.col("pos") % 3
+    shift = F.floor(F.col("x0") / 200) + F.when(code % 7 == 0, 10).otherwise(0)
+    return b.withColumns({
+        "y0": F.col("y0") + shift + F.when((F.col("char") == "l") & (third == 1), 12).when((F.col("char") == "i") & (third == 2), -10).otherwise(0),
+        "y1": F.col("y1") + shift + F.when((F.col("char") == "g") & (third == 0), -10).otherwise(0),
+        "has_dot": F.col("char").isin("i", "j") & (F.col("pos") % 2 == 0),
+        "first_in_word": F.col("pos") == 0,
+    })
+
+
 def v_bands(spark, sf_dir) -> DataFrame:
     """One text band per non-empty line (dots fall into the gap above it)."""
     top = F.col("line_no") * LINE_STEP
@@ -282,6 +295,12 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
           UNION ALL
           SELECT page_id, line_no, pos * 2 + 1, char, true, confidence, x0 + 2, line_no * 40 + 2.0::DOUBLE, x1 - 2,
                  line_no * 40 + 6.0::DOUBLE FROM v_char_boxes WHERE char IN ('i', 'j'))"""),
+    "v_written": (("v_char_boxes",), """
+        SELECT page_id, line_no, pos, char, confidence, x0, x1,
+               y0 + s + CASE WHEN char = 'l' AND pos % 3 = 1 THEN 12 WHEN char = 'i' AND pos % 3 = 2 THEN -10 ELSE 0 END AS y0,
+               y1 + s + CASE WHEN char = 'g' AND pos % 3 = 0 THEN -10 ELSE 0 END AS y1,
+               char IN ('i', 'j') AND pos % 2 = 0 AS has_dot, pos = 0 AS first_in_word
+        FROM (SELECT *, floor(x0 / 200) + CASE WHEN ord(char) % 7 = 0 THEN 10 ELSE 0 END AS s FROM v_char_boxes)"""),
     "v_bands": (("v_lines",), """
         SELECT page_id, line_no AS band, line_no * 40 + 10.0::DOUBLE AS b0, line_no * 40 + 30.0::DOUBLE AS b1
         FROM v_lines WHERE regexp_matches(line, '\\S')"""),
