@@ -58,23 +58,25 @@ def normalize_input_type(raw, allowed: Sequence[str] = INPUT_TYPES, default: str
     return F.when(_col(raw).isin(*allowed), _col(raw)).otherwise(F.lit(default))
 
 
-def classify_status(is_blurry, n_detections, confidence, request_error=None) -> Column:
-    """Request errors first, then blur, then an empty page, then the confidence cut."""
+def classify_status(is_blurry, n_detections, confidence, request=None) -> Column:
+    """Blur first, then an empty page, then the confidence cut.
+
+    ``request`` is a status already settled by the request itself; it wins.
+    """
     status = (F.when(_col(is_blurry), "Blurry_Image")
               .when(F.coalesce(_col(n_detections), F.lit(0)) <= 0, "No_Characters")
               .when(_col(confidence) > SUCCESS_ABOVE, "Success")
               .otherwise("Low_Confidence"))
-    if request_error is None:
-        return status
-    return F.coalesce(_col(request_error), status)
+    return status if request is None else F.coalesce(_col(request), status)
 
 
-def request_error(mode, has_file, text, crashed, image_mode: str = "image", text_mode: str = "text") -> Column:
-    """Status of a request that never reached recognition, else null."""
+def request_status(mode, has_file, text, crashed, image_mode: str = "image", text_mode: str = "text") -> Column:
+    """Status of a request that needs no recognition result, else null."""
     return (F.when(_col(crashed), "Error")
             .when((_col(mode) == image_mode) & ~_col(has_file), "No_File")
             .when((_col(mode) == text_mode) & (F.coalesce(_col(text), F.lit("")) == ""), "No_Text")
-            .when(_col(mode).isNull() | ~_col(mode).isin(image_mode, text_mode), "Invalid_Mode"))
+            .when(_col(mode) == text_mode, "Success")
+            .when(_col(mode).isNull() | (_col(mode) != image_mode), "Invalid_Mode"))
 
 
 def recognition_outcome(status, error=None, is_missing=None) -> Column:
