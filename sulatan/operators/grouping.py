@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sulatan.operators.ordered import CHUNK, chunked, running, salted_join, segments
+from sulatan.operators.ordered import CHUNK, chunked, running, skew_join, segments
 
 LINE = ["page_id", "line_no"]
 CHUNK_PIXELS = 16384.0
@@ -36,8 +36,10 @@ def otsu_split(values: DataFrame, keys: list[str], value: str = "gap", count: st
     key needs at most 51 running sums whatever its number of values.
     """
     v, n = F.col(value), F.col(count)
-    stats = values.groupBy(*keys).agg(F.sum(n).alias("_n"), F.sum(v * n).alias("_s"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
-    wide = salted_join(values, stats.filter((F.col("_n") >= 2) & (F.col("_hi") - F.col("_lo") >= OTSU_MIN_RANGE)), keys, [value])
+    stats = values.groupBy(*keys).agg(F.sum(n).alias("_n"), F.sum(v * n).alias("_s"), F.min(v).alias("_lo"), F.max(v).alias("_hi"),
+                                       F.count(F.lit(1)).alias("_d"))
+    wide = skew_join(values, stats.filter((F.col("_n") >= 2) & (F.col("_hi") - F.col("_lo") >= OTSU_MIN_RANGE)), keys, [value],
+                     counts=stats.select(*keys, F.col("_d").alias("n")))
     step = (F.col("_hi") - F.col("_lo")) / (OTSU_STEPS - 1)
 
     def threshold(k: Column) -> Column:
@@ -150,33 +152,56 @@ def line_sizes(boxes: DataFrame, keys: list[str]) -> DataFrame:
                                     F.percentile("_h", 0.5, F.col("_n")).alias("median_h"), F.sum("_n").alias("n_boxes"))
 
 
+def _gaps_inside(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Chunked boxes with the gap to the box before them in the same chunk."""
+    return df.withColumn("gap", F.col("x0") - F.lag("x1").over(W.partitionBy(*keys, CHUNK).orderBy(*order)))
+
+
+def _gaps_between(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row per chunk with the gap across its left edge (null for the first chunk)."""
+    place = F.struct(*[F.col(c) for c in order])
+    ends = df.groupBy(*keys, CHUNK).agg(F.min_by("x0", place).alias("_first"), F.max_by("x1", place).alias("_last"))
+    before = F.lag("_last").over(W.partitionBy(*keys).orderBy(CHUNK))
+    return ends.select(*keys, CHUNK, (F.col("_first") - before).alias("edge"))
+
+
 def gap_counts(boxes: DataFrame, keys: list[str], order: list[str], chunk_px: float = CHUNK_PIXELS) -> DataFrame:
     """Counted distinct gaps per key and chunk between neighbouring boxes."""
     df = chunked(boxes, "x0", chunk_px)
-    w = W.partitionBy(*keys, CHUNK).orderBy(*order)
-    inner = (df.select(*keys, CHUNK, (F.col("x0") - F.lag("x1").over(w)).alias("gap")).filter(F.col("gap").isNotNull())
+    inner = (_gaps_inside(df, keys, order).filter(F.col("gap").isNotNull())
              .groupBy(*keys, CHUNK, "gap").agg(F.count(F.lit(1)).alias("n")))
-    place = F.struct(*[F.col(c) for c in order])
-    ends = df.groupBy(*keys, CHUNK).agg(F.min_by("x0", place).alias("_first"), F.max_by("x1", place).alias("_last"))
-    before = F.lag("_last").over(W.partitionBy(*keys).orderBy(CHUNK))
-    edges = (ends.select(*keys, CHUNK, (F.col("_first") - before).alias("gap"), F.lit(1).cast("long").alias("n"))
-             .filter(F.col("gap").isNotNull()))
-    return inner.unionByName(edges)
+    edges = _gaps_between(df, keys, order).filter(F.col("edge").isNotNull())
+    return inner.unionByName(edges.select(*keys, CHUNK, F.col("edge").alias("gap"), F.lit(1).cast("long").alias("n")))
 
 
 def words_by_gap(boxes: DataFrame, strategy: str = "max_jump", keys: list[str] | None = None,
                  tie: list[str] | None = None, chunk_px: float = CHUNK_PIXELS) -> DataFrame:
-    """Add ``threshold`` and ``word_no`` (from 0) to the boxes of every line."""
+    """Add ``threshold`` and ``word_no`` (from 0) to the boxes of every line.
+
+    Boxes are shuffled by line and chunk and stay there: thresholds and the
+    number of words before each chunk come from the counted gaps and are joined
+    per chunk.
+    """
     keys, order = keys or LINE, ["x0", *(tie or ["x1", "y0", "y1"])]
-    counted = gap_counts(boxes, keys, order, chunk_px).groupBy(*keys, "gap").agg(F.sum("n").alias("n"))
-    sizes = line_sizes(boxes, keys)
-    cuts = word_gap_thresholds(counted, sizes, keys, strategy)
+    df = chunked(boxes, "x0", chunk_px)
+    inside = _gaps_inside(df, keys, order)
+    counted = inside.filter(F.col("gap").isNotNull()).groupBy(*keys, CHUNK, "gap").agg(F.count(F.lit(1)).alias("n"))
+    edges = _gaps_between(df, keys, order)
+    crossing = edges.filter(F.col("edge").isNotNull()).select(*keys, F.col("edge").alias("gap"), F.lit(1).cast("long").alias("n"))
+    gaps = counted.drop(CHUNK).unionByName(crossing).groupBy(*keys, "gap").agg(F.sum("n").alias("n"))
+    cuts = word_gap_thresholds(gaps, line_sizes(boxes, keys), keys, strategy)
     # a line with one box has no gaps and therefore no row in most strategies
-    cuts = sizes.select(*keys).join(cuts, keys, "left")
-    df = chunked(salted_join(boxes, cuts, keys, ["x0", "y0"]), "x0", chunk_px)
-    out = segments(df, keys, order, ["x0", "x1", "threshold"],
-                   lambda prev, cur: cur.getField("x0") - prev.getField("x1") > cur.getField("threshold"), "word_no")
-    return out.drop(CHUNK)
+    chunks = edges.join(cuts, keys, "left")
+    breaks = (counted.join(chunks.select(*keys, CHUNK, "threshold"), [*keys, CHUNK])
+              .groupBy(*keys, CHUNK).agg(F.sum(F.when(F.col("gap") > F.col("threshold"), F.col("n")).otherwise(0)).alias("_n")))
+    opens = F.when(F.col("edge") > F.col("threshold"), 1).otherwise(0)
+    past = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    placed = chunks.join(breaks, [*keys, CHUNK], "left").withColumn("_open", opens)
+    base = F.coalesce(F.sum(F.coalesce("_n", F.lit(0)) + F.col("_open")).over(past), F.lit(0)) + F.col("_open")
+    placed = placed.select(*keys, CHUNK, "threshold", base.alias("_base"))
+    run = W.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    word = F.sum(F.when(F.col("gap") > F.col("threshold"), 1).otherwise(0)).over(run) + F.col("_base")
+    return inside.join(placed, [*keys, CHUNK]).withColumn("word_no", word.cast("long")).drop(CHUNK, "gap", "_base")
 
 
 def row_clusters(boxes: DataFrame, keys: list[str] | None = None, chunk_px: float = CHUNK_PIXELS) -> DataFrame:
@@ -246,9 +271,9 @@ def side_by_side_pieces(pieces: DataFrame, keys: list[str], min_pieces: int = 3,
 
     Pieces below ``max(3, 1 %)`` of the group's ink do not count.
     """
-    whole = pieces.groupBy(*keys).agg(F.sum("area").alias("_ink"), (F.max("x1") - F.min("x0")).alias("_w"),
+    whole = pieces.groupBy(*keys).agg(F.sum("area").alias("_ink"), F.count(F.lit(1)).alias("n"), (F.max("x1") - F.min("x0")).alias("_w"),
                                       (F.max("y1") - F.min("y0")).alias("_h"))
-    real = (salted_join(pieces, whole, keys, ["x0", "y0"])
+    real = (skew_join(pieces, whole.drop("n"), keys, ["x0", "y0"], counts=whole)
             .filter(F.col("area") >= F.greatest(F.lit(3.0), 0.01 * F.col("_ink"))))
     swept = running(chunked(real, "x0", chunk_px), keys, ["x0", "x1", "y0", "y1"], peaks_before={"_right": "x1"})
     starts = F.sum(F.when(F.col("_right").isNull() | (F.col("x0") > F.col("_right")), 1).otherwise(0))
@@ -270,7 +295,7 @@ def words_to_lines(words: DataFrame, counts: DataFrame, keys: list[str], word_in
         (F.col("_end") - F.col(n)).cast("long"), (F.col("_end") - 1).cast("long"))).alias(word_index))
     total = filled.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n_lines"))
     placed = words.join(spans, [*keys, word_index], "left")
-    placed = salted_join(placed, total, keys, [word_index], "left")
+    placed = skew_join(placed, total, keys, [word_index], "left")
     return placed.withColumn("text_line", F.coalesce("text_line", "_n_lines", F.lit(0)).cast("long")).drop("_n_lines")
 
 

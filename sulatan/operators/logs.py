@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sulatan.operators.ordered import salted_join
+from sulatan.operators.ordered import skew_join
 
 
 def session_latest_status(events: DataFrame, session: str = "session_id") -> DataFrame:
@@ -42,7 +42,7 @@ def session_detections(sessions: DataFrame, detections: DataFrame, archive: Data
 
     One session may own a large share of the log, so the session key is spread.
     """
-    logged = salted_join(detections, sessions.select("session_id", F.col("status").alias("session_status")), ["session_id"], ["log_id"])
+    logged = skew_join(detections, sessions.select("session_id", F.col("status").alias("session_status")), ["session_id"], ["log_id"])
     return logged.join(archive.select("log_id", F.col("label").alias("archive_label")), "log_id", "left")
 
 

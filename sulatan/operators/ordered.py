@@ -144,14 +144,32 @@ def with_halo(df: DataFrame, keys: Sequence[str], order: Sequence[str], fields:
     return df.select(*keys, CHUNK, *order, *fields).withColumn(flag, F.lit(False)).unionByName(halo)
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread: Sequence[str], how: str = "inner",
-                salts: int = 16) -> DataFrame:
-    """Equi-join in which a hot left key is spread over ``salts`` tasks.
+HOT_SHARE = 1024
+HOT_SALTS = 64
 
-    ``right`` holds one (or few) rows per key and is repeated once per salt;
-    when it is small Spark still broadcasts it on its own size estimate and no
-    shuffle of ``left`` takes place.
+
+def hot_keys(counts: DataFrame, on: Sequence[str], n: str = "n") -> DataFrame:
+    """Keys holding more than 1/1024 of all rows; there can be at most 1023 of them."""
+    total = counts.agg(F.sum(n).alias("t")).scalar()
+    return counts.filter(F.col(n) * HOT_SHARE > total).select(*on).withColumn("_hot", F.lit(True))
+
+
+def skew_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread: Sequence[str], how: str = "inner",
+              counts: DataFrame | None = None) -> DataFrame:
+    """Equi-join that spreads the hot keys of ``left`` over many tasks.
+
+    Keys above a fixed share of the rows are found first (from ``counts`` with
+    columns ``on`` and ``n``, or by counting ``left``). That list is short by
+    construction, so broadcasting it is safe whatever the data size. Rows of hot
+    keys get a salt from ``spread``; only their partners in ``right`` are
+    repeated. A ``right`` side small enough is broadcast on its measured size.
     """
-    salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
+    on = list(on)
+    if counts is None:
+        counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+    hot = F.broadcast(hot_keys(counts, on))
+    salt = F.pmod(F.xxhash64(*spread), F.lit(HOT_SALTS)).cast("int")
+    salted = left.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0)).drop("_hot")
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copies = right.join(hot, on, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return salted.join(copies, [*on, "_salt"], how).drop("_salt")

@@ -17,16 +17,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a table read by fewer tasks than there are cores.
+
+    Text is exploded right after reading, so a table in one small file would be
+    exploded by one task. A table with enough splits is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores, key)
+
+
+def documents(spark, sf_dir) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def conversations(spark, sf_dir) -> DataFrame:
+    return spread(table(spark, sf_dir, "conversations"), "turn")
+
+
 # --- text and vocabulary -------------------------------------------------
 
 def v_text(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.lit("documents").alias("src"), F.col("doc_id").alias("id"), "text")
+    docs = documents(spark, sf_dir).select(F.lit("documents").alias("src"), F.col("doc_id").alias("id"), "text")
     bench = table(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("src"), F.col("item_id").alias("id"), "text")
     return docs.unionByName(bench)
 
 
 def v_lines(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return docs.select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")) \
         .withColumn("line_no", F.col("line_no").cast("long"))
 
@@ -38,11 +56,11 @@ def tokens(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def v_vocab(spark, sf_dir) -> DataFrame:
-    return tokens(table(spark, sf_dir, "documents"))
+    return tokens(documents(spark, sf_dir))
 
 
 def v_dict(spark, sf_dir) -> DataFrame:
-    return tokens(table(spark, sf_dir, "conversations"))
+    return tokens(conversations(spark, sf_dir))
 
 
 def as_slots(word):
@@ -93,10 +111,10 @@ def v_char_boxes(spark, sf_dir) -> DataFrame:
     chars = v_lines(spark, sf_dir).select(
         "page_id", "line_no",
         F.posexplode(F.regexp_extract_all("line", F.lit("(?s)."), F.lit(0))).alias("pos", "char"))
-    chars = chars.filter(~F.col("char").rlike(r"^\s$"))
+    chars = chars.filter(~F.contains(F.lit(" \t\n\r\f\v"), F.col("char")))
     top = F.col("line_no") * LINE_STEP + 10
-    tall = F.col("char").rlike("^[bdfhkltA-Z]$")
-    deep = F.col("char").rlike("^[gjpqy]$")
+    tall = F.contains(F.lit("bdfhklt"), F.col("char")) | F.col("char").between("A", "Z")
+    deep = F.contains(F.lit("gjpqy"), F.col("char"))
     return chars.select(
         "page_id", "line_no", F.col("pos").cast("long").alias("pos"), "char",
         (F.lit(50.0) + F.ascii("char") % 50).alias("confidence"),
@@ -110,7 +128,7 @@ def v_char_boxes(spark, sf_dir) -> DataFrame:
 def v_marks(spark, sf_dir) -> DataFrame:
     """Letter boxes plus one dot above every ``i`` and ``j``."""
     boxes = v_char_boxes(spark, sf_dir)
-    parts = F.when(F.col("char").rlike("^[ij]$"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    parts = F.when(F.col("char").isin("i", "j"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     rows = boxes.withColumn("part", F.explode(parts))
     dot = F.col("part") == 1
     line_top = F.col("line_no") * LINE_STEP
@@ -220,7 +238,7 @@ def v_motion(spark, sf_dir) -> DataFrame:
 
 
 def v_pages(spark, sf_dir) -> DataFrame:
-    talk = table(spark, sf_dir, "conversations")
+    talk = conversations(spark, sf_dir)
     return talk.select(F.col("conv_id").alias("scan_id"), F.col("turn").alias("page_no"), "text",
                        (F.col("role") == "assistant").alias("is_read"),
                        (F.length("text") % 100).cast("double").alias("confidence"))

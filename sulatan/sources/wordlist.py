@@ -7,11 +7,12 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from sulatan.functions.baybayin import strip_ws
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(words: pd.Series) -> pd.Series:
     """Unicode NFC; Spark has no built-in normalisation."""
     return words.map(lambda w: None if w is None else unicodedata.normalize("NFC", w))
