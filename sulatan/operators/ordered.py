@@ -144,6 +144,18 @@ def with_halo(df: DataFrame, keys: Sequence[str], order: Sequence[str], fields:
     return df.select(*keys, CHUNK, *order, *fields).withColumn(flag, F.lit(False)).unionByName(halo)
 
 
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a narrow lookup table for broadcast after counting its rows.
+
+    Beyond the bound the table is returned unmarked and the join shuffles.
+    """
+    small = df.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(df) if small else df
+
+
 HOT_SHARE = 1024
 HOT_SALTS = 64
 
