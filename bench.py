@@ -16,11 +16,10 @@ from sulatan.session import local_session  # noqa: E402
 # one or two queries per operator family; BENCH_QUERIES=all or a comma list overrides
 HEADLINE = [
     "transliterate", "syllable_breakdown", "native_confidence", "translation_rule_check", "wordlist_load",
-    "resolve_ambiguous_words", "resolve_lines", "spelling_correction", "box_union", "words_by_gap", "words_by_gap_otsu",
-    "row_clusters", "reading_order_lines", "detect_bands", "component_to_band", "dot_owner", "noise_components", "fit_baseline",
-    "merge_boxes", "fuse_glyph_reading", "ovo_vote", "top5_similarity", "classification_metrics", "parse_replies",
-    "sanitize_detections", "session_latest_status", "archive_write", "result_report_text", "steadiness", "held_steady",
-    "session_log_stream",
+    "resolve_ambiguous_words", "resolve_lines", "spelling_correction", "box_union", "words_by_gap", "detect_bands",
+    "component_to_band", "merge_boxes", "fuse_glyph_reading", "ovo_vote", "top5_similarity", "classification_metrics",
+    "parse_replies", "sanitize_detections", "session_latest_status", "archive_write", "result_report_text", "steadiness",
+    "held_steady", "session_log_stream",
 ]
 
 

@@ -36,10 +36,9 @@ def otsu_split(values: DataFrame, keys: list[str], value: str = "gap", count: st
     key needs at most 51 running sums whatever its number of values.
     """
     v, n = F.col(value), F.col(count)
-    stats = values.groupBy(*keys).agg(F.sum(n).alias("_n"), F.sum(v * n).alias("_s"), F.min(v).alias("_lo"), F.max(v).alias("_hi"),
-                                       F.count(F.lit(1)).alias("_d"))
-    wide = skew_join(values, stats.filter((F.col("_n") >= 2) & (F.col("_hi") - F.col("_lo") >= OTSU_MIN_RANGE)), keys, [value],
-                     counts=stats.select(*keys, F.col("_d").alias("n")))
+    stats = values.groupBy(*keys).agg(F.sum(n).alias("_n"), F.sum(v * n).alias("_s"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+    # values are counted already, so a key has one row per distinct value at most
+    wide = values.join(stats.filter((F.col("_n") >= 2) & (F.col("_hi") - F.col("_lo") >= OTSU_MIN_RANGE)), keys)
     step = (F.col("_hi") - F.col("_lo")) / (OTSU_STEPS - 1)
 
     def threshold(k: Column) -> Column:

@@ -98,7 +98,7 @@ def _report(language):
         lines = F.transform(F.filter(F.split("text", "\n"), lambda x: x != ""), lambda line: F.transform(
             F.regexp_extract_all(line, F.lit("(?s)."), F.lit(0)),
             lambda c: F.struct(c.alias("char"), (F.lit(50.0) + F.ascii(c) % 50).alias("confidence"))))
-        at = F.timestamp_seconds(F.lit(1704067200) + F.col("page_no") * 3600)
+        at = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(page_no as int))")
         return pages.select("scan_id", "page_no", P.report_text(
             "text", F.lit("HOG"), lines, at, "confidence", F.length("text"), language=language).alias("report"))
     return run
