@@ -197,15 +197,20 @@ def valid_box(box) -> Column:
 
 def sanitize_detections(reply) -> Column:
     """Detections of a reply variant: objects only, bad boxes null, bad numbers 0."""
-    items = F.try_variant_get(_col(reply), "$.individual_detections", "array<variant>")
-    is_list = F.schema_of_variant(F.try_variant_get(_col(reply), "$.individual_detections", "variant")).startswith("ARRAY")
     empty = F.array().cast("array<variant>")
-    maps = F.filter(F.coalesce(F.when(is_list, items), empty), lambda d: F.schema_of_variant(d).startswith("OBJECT"))
-    return F.transform(maps, lambda d: F.struct(
-        F.try_variant_get(d, "$.char", "string").alias("char"),
-        read_number(F.try_variant_get(d, "$.confidence", "variant")).alias("confidence"),
-        valid_box(F.try_variant_get(d, "$.bbox", "variant")).alias("bbox"),
-    ))
+
+    def clean(v: Column) -> Column:
+        is_list = F.schema_of_variant(F.try_variant_get(v, "$.individual_detections", "variant")).startswith("ARRAY")
+        items = F.when(is_list, F.try_variant_get(v, "$.individual_detections", "array<variant>"))
+        maps = F.filter(F.coalesce(items, empty), lambda d: F.schema_of_variant(d).startswith("OBJECT"))
+        return F.transform(maps, lambda d: F.struct(
+            F.try_variant_get(d, "$.char", "string").alias("char"),
+            read_number(F.try_variant_get(d, "$.confidence", "variant")).alias("confidence"),
+            valid_box(F.try_variant_get(d, "$.bbox", "variant")).alias("bbox"),
+        ))
+
+    # bound to a lambda variable, the reply is parsed once however often it is used
+    return F.transform(F.array(_col(reply)), clean)[0]
 
 
 # --- glyph readings ---------------------------------------------------------

@@ -199,7 +199,7 @@ MARK_CLASSES = ("Dot", "None", "X")
 # --- replies, sessions, motion, pages ------------------------------------
 
 def v_events(spark, sf_dir) -> DataFrame:
-    events = table(spark, sf_dir, "events")
+    events = spread(table(spark, sf_dir, "events"), "event_id")
     status = (F.when(F.col("event_type") == "purchase", "Success").when(F.col("event_type") == "view", "Low_Confidence")
               .when(F.col("event_type") == "click", "No_Characters").when(F.col("event_type") == "signup", "Blurry_Image")
               .otherwise("Error"))
