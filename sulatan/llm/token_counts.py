@@ -289,7 +289,7 @@ def _summaries(path: str):
     def run(batches):
         for batch in batches:
             inner, head, tail, cuts = zip(*(counter(path).summary(t) for t in batch.column(3).to_pylist())) if batch.num_rows else ((),) * 4
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(inner, pa.int64()), pa.array(head, pa.string()), pa.array(tail, pa.string()), pa.array(cuts, pa.int64())], ["row", "doc_id", "k", "inner", "head", "tail", "cuts"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(inner, pa.int64()), pa.array(head, pa.string()), pa.array(tail, pa.string()), pa.array([int(c) for c in cuts], pa.int64())], ["row", "doc_id", "k", "inner", "head", "tail", "cuts"])
 
     return run
 
