@@ -78,4 +78,5 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     """
     rows = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label].cast("int").alias("label"))
     rows = rows.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("label").alias("label"))
-    return texts_in(docs.where("doc_id is not null"), rows).join(rows, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
+    # a sort-merge join at every size: labels grow with the texts
+    return texts_in(docs.where("doc_id is not null"), rows).join(rows.hint("merge"), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
