@@ -25,9 +25,9 @@ MOST_WORDS = 400_000
 class Pieces:
     """Pieces of a model file, and the best segmentation under their scores.
 
-    Weights are whole numbers: the score in 1024ths, then a tie-break from the
+    Weights are whole numbers: the score in 1024ths, and a tie-break from the
     piece and its place in its unit. Sums are exact, so every way of computing
-    the best path finds the same one. A character outside the vocabulary costs
+    the best path finds the same one. Pieces stand in a tree by character. A character outside the vocabulary costs
     ten more than the lowest score and becomes its bytes.
     """
 
@@ -48,39 +48,55 @@ class Pieces:
             usual = not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i))
             self.raw.append(piece.replace(GAP, " ").encode() if usual else b"")
             if usual:
-                self.weight[piece] = (round(model.get_score(i) * 1024) << 48, i)
+                self.weight[piece] = (round(model.get_score(i) * 1024), i)
                 if model.get_score(i) > -1e6:
                     lowest = min(lowest, model.get_score(i))
-        self.unknown = round((lowest - 10) * 1024) << 48
-        self.starts = {p[:k] for p in self.weight for k in range(1, len(p) + 1)}
+        self.unknown = round((lowest - 10) * 1024)
+        self.root: dict = {}
+        for piece, (w, i) in self.weight.items():
+            node = self.root
+            for c in piece[:-1]:
+                node = node.setdefault(c, [{}, None, 0])[0]
+            node.setdefault(piece[-1], [{}, None, 0])[1:] = [w, i]
         self.states = max(map(len, self.weight))
         # no piece has a gap after another character: every gap after one starts a unit
         self.units = not any(GAP in p.lstrip(GAP) for p in self.weight)
-        self.known: dict[int, np.ndarray] = {}
+        self.known: dict[int, bytes] = {}
 
-    def backward(self, text: str, n: int, end: int, lead: int = 0) -> tuple[list[int], list[int]]:
-        """Best weight from each position to ``end`` with pieces that start before ``n``, and where the first ends.
+    def backward(self, text: str, n: int, end: int, lead: int = 0) -> tuple[list[int | None], list[int], list[int]]:
+        """Best score from each position to ``end`` with pieces that start before ``n``, its tie-break, and where the first piece ends.
 
         ``lead``: how far before ``text`` its first unit began.
         """
-        best, step = [NONE] * (len(text) + 1), [0] * (len(text) + 1)
+        size = len(text) + 1
+        best, tie, step = [None] * size, [0] * size, [0] * size
         best[end] = 0
-        starts, weight = self.starts, self.weight
+        root, weight = self.root, self.weight
         for i in range(min(n, end) - 1, -1, -1):
-            top, to, j = self.unknown + best[i + 1] if text[i] not in weight else NONE, i + 1, i + 1
-            place = (lead + i + 1) * 2654435761
-            while j <= end:
-                part = text[i:j]
-                if part not in starts:
+            top, to, which, node = None, i + 1, -1, None
+            nodes = root
+            for j in range(i, end):
+                node = nodes.get(text[j])
+                if node is None:
                     break
-                got = weight.get(part)
-                if got is not None and best[j] > NONE:
-                    value = got[0] + best[j] + ((got[1] + 7) * place >> 7 & 0xFFFFFF)
-                    if value > top:
-                        top, to = value, j
-                j += 1
-            best[i], step[i] = max(top, NONE), to
-        return best, step
+                nodes = node[0]
+                w = node[1]
+                if w is None or best[j + 1] is None:
+                    continue
+                w += best[j + 1]
+                if top is None or w > top:
+                    top, to, which = w, j + 1, node[2]
+                elif w == top and tie[j + 1] + self._tie(node[2], lead + i) > tie[to] + self._tie(which, lead + i):
+                    to, which = j + 1, node[2]
+            if top is None and text[i] not in weight and best[i + 1] is not None:
+                top = self.unknown + best[i + 1]
+            best[i], step[i] = top, to
+            tie[i] = tie[to] + self._tie(which, lead + i)
+        return best, tie, step
+
+    @staticmethod
+    def _tie(piece: int, place: int) -> int:
+        return (piece + 7) * (place + 1) * 2654435761 >> 7 & 0xFFFFFF
 
     def path(self, text: str, start: int, step: list[int], end: int) -> list[int]:
         out, i = [], start
@@ -91,7 +107,7 @@ class Pieces:
         return out
 
     def unit(self, text: str) -> list[int]:
-        return self.path(text, 0, self.backward(text, len(text), len(text))[1], len(text))
+        return self.path(text, 0, self.backward(text, len(text), len(text))[2], len(text))
 
     def cuts(self, text: str) -> np.ndarray:
         """Positions that no piece can span."""
@@ -116,12 +132,12 @@ class Pieces:
         for h, f in zip(units.tolist(), first.tolist()):
             got = self.known.get(h)
             if got is None:
-                got = np.array(self.unit(text[starts[f] : ends[f]]), np.int32)
+                got = np.array(self.unit(text[starts[f] : ends[f]]), np.int32).tobytes()
                 if ends[f] - starts[f] <= 64:
                     self.known[h] = got
             ids.append(got)
-        sizes = np.array([len(x) for x in ids])
-        flat, base = np.concatenate(ids), np.concatenate([[0], np.cumsum(sizes)])
+        sizes = np.array([len(x) // 4 for x in ids])
+        flat, base = np.frombuffer(b"".join(ids), np.int32), np.concatenate([[0], np.cumsum(sizes)])
         n = sizes[which]
         to = np.concatenate([[0], np.cumsum(n)])
         every = flat[np.repeat(base[which] - to[:-1], n) + np.arange(to[-1])]
@@ -139,13 +155,17 @@ class Pieces:
         n, size = len(text), self.states
         every = text + ahead
         found = self.cuts(text)
-        pad = lambda v: (list(v) + [NONE] * size)[:size]
+
+        def values(part: str, n: int, end: int, lead: int) -> list[int]:
+            best, tie, _ = self.backward(part, n, end, lead) if end <= len(part) else ([], [], [])
+            return ([NONE if x is None else (x << 48) + t for x, t in zip(best, tie)] + [NONE] * size)[:size]
+
         if len(found):
             f, last = int(found[0]), int(found[-1])
-            head = pad(self.backward(text[:f], f, f, lead)[0])
-            tail = [self.backward(every[last:], n - last, n - last + b)[0][0] if n + b <= len(every) else NONE for b in range(size)]
+            head = values(text[:f], f, f, lead)
+            tail = [values(every[last:], n - last, n - last + b, 0)[0] for b in range(size)]
             return True, head + tail
-        columns = [pad(self.backward(every, n, n + b, lead)[0]) if n + b <= len(every) else [NONE] * size for b in range(size)]
+        columns = [values(every, n, n + b, lead) for b in range(size)]
         return False, [columns[b][a] for a in range(size) for b in range(size)]
 
     def chunk(self, text: str, ahead: str, lead: int, a: int, b: int) -> np.ndarray:
@@ -153,11 +173,11 @@ class Pieces:
         n = len(text)
         found = self.cuts(text)
         if not len(found):
-            return np.array(self.path(text + ahead, a, self.backward(text + ahead, n, n + b, lead)[1], n + b) if a < n else [], np.int32)
+            return np.array(self.path(text + ahead, a, self.backward(text + ahead, n, n + b, lead)[2], n + b) if a < n else [], np.int32)
         f, last = int(found[0]), int(found[-1])
-        head = self.path(text[:f], a, self.backward(text[:f], f, f, lead)[1], f)
+        head = self.path(text[:f], a, self.backward(text[:f], f, f, lead)[2], f)
         rest = (text + ahead)[last : n + b]
-        tail = self.path(rest, 0, self.backward(rest, n - last, n - last + b)[1], len(rest))
+        tail = self.path(rest, 0, self.backward(rest, n - last, n - last + b)[2], len(rest))
         return np.concatenate([np.array(head, np.int32), self.many(text[f:last], np.array([0, last - f]))[0], np.array(tail, np.int32)])
 
     def decode(self, ids: np.ndarray) -> str:
@@ -208,19 +228,27 @@ def _encoded(path: str):
     def run(batches):
         for batch in batches:
             for lo, hi, text, at in _groups(batch.column(2)):
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in (0, 1)), _lists(pieces(path).many(text, at))], ["doc_id", "text", "ids"])
+                ids = pieces(path).many(text, at)
+                rows = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), _lists(ids), _same(path, rows.column(1), ids)], ["doc_id", "text", "ids", "round_trip"])
 
     return run
 
 
+def _same(path: str, texts: pa.Array, ids: list[np.ndarray]) -> pa.Array:
+    """Decoding the ids gives the text."""
+    return pa.array([pieces(path).decode(i) == (t or "") for t, i in zip(texts.to_pylist(), ids)], pa.bool_())
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """``(doc_id, text, ids)``: the best-scoring pieces of every row's text.
+    """``(doc_id, text, ids, round_trip)``: the best-scoring pieces of every row's text.
 
     Blanks become gaps and one gap is put in front, as in the model's files.
     Rows over ``chunk`` characters are cut: each chunk row gives a transfer
     matrix, the matrices of a text are combined into the boundary states, and
     each chunk then traces its own pieces. The ids equal those of the whole
-    text at once.
+    text at once. ``round_trip``: decoding the ids gives the text back, which
+    fails only where a text has the gap sign itself.
 
     Null and empty texts have no ids (null stays null in ``text``); null ids
     stay; repeated rows are encoded alike; extra columns are ignored; an empty
@@ -228,9 +256,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """
     docs = docs_of(docs, id_col, text_col)
     own = F.when(F.length("text") > 0, F.concat(F.lit(GAP), F.translate("text", " ", GAP))).otherwise("")
-    none = docs.where("text is null").select("doc_id", "text", F.array().cast("array<int>").alias("ids"))
+    none = docs.where("text is null").select("doc_id", "text", F.array().cast("array<int>").alias("ids"), F.lit(True).alias("round_trip"))
     short, long = short_and_long(docs.where("text is not null"), chunk)
-    kept = short.select("doc_id", "text", own.alias("gapped")).mapInArrow(_encoded(path), "doc_id long, text string, ids array<int>")
+    kept = short.select("doc_id", "text", own.alias("gapped")).mapInArrow(_encoded(path), "doc_id long, text string, ids array<int>, round_trip boolean")
     size = pieces(path).states
 
     def transfers(batches):
@@ -248,7 +276,15 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     states = chunks.mapInArrow(transfers, "row long, k long, cuts boolean, values array<decimal(38,0)>").groupBy("row").applyInPandas(_states(size), "row long, k long, a int, b int")
     traced = chunks.join(states, ["row", "k"]).select("row", "k", "text", "ahead", "lead", "a", "b").mapInArrow(traces, "row long, k long, ids array<int>")
     whole = traced.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return kept.unionByName(keyed.join(whole, "row").select("doc_id", "text", "ids")).unionByName(none)
+
+    def checked(batches):
+        for batch in batches:
+            lists = batch.column(2)
+            values, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+            yield batch.append_column("round_trip", _same(path, batch.column(1), [values[a:b] for a, b in zip(at[:-1], at[1:])]))
+
+    long_rows = keyed.join(whole, "row").select("doc_id", "text", "ids").mapInArrow(checked, "doc_id long, text string, ids array<int>, round_trip boolean")
+    return kept.unionByName(long_rows).unionByName(none)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:

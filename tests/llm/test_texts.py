@@ -175,7 +175,7 @@ def test_pieces(spark, chunk):
     df = spark.createDataFrame(rows, "doc_id long, text string, ids int").repartition(3)
     out = sentencepiece_scan.decode(sentencepiece_scan.encode(df, PIECES, chunk=chunk), PIECES).collect()
     assert sorted(((r["doc_id"], r["text"], r["ids"]) for r in out), key=str) == sorted(((i, t, _best(model, t or "")) for i, t, _ in rows), key=str)
-    assert all(r["decoded"] == (r["text"] or "") for r in out)
+    assert all(r["decoded"] == (r["text"] or "") and r["round_trip"] for r in out)
 
 
 def test_best_path_is_best():
