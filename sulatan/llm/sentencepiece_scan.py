@@ -19,7 +19,8 @@ CHUNK = 1 << 15
 GAP = "▁"
 #: no path; weights are integers, exact in sums
 NONE = -(10**37)
-MOST_WORDS = 400_000
+#: distinct units kept per worker; the ones not met since the last turn are forgotten
+MOST_WORDS = 450_000
 
 
 class Pieces:
@@ -62,6 +63,7 @@ class Pieces:
         # no piece has a gap after another character: every gap after one starts a unit
         self.units = not any(GAP in p.lstrip(GAP) for p in self.weight)
         self.known: dict[int, bytes] = {}
+        self.older: dict[int, bytes] = {}
 
     def backward(self, text: str, n: int, end: int, lead: int = 0) -> tuple[list[int | None], list[int], list[int]]:
         """Best score from each position to ``end`` with pieces that start before ``n``, its tie-break, and where the first piece ends.
@@ -127,12 +129,14 @@ class Pieces:
         value *= np.uint64(0xD6E8FEB86659FD93)
         units, first, which = np.unique(span_hashes(value, starts, ends), return_index=True, return_inverse=True)
         if len(self.known) > MOST_WORDS:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         ids = []
         for h, f in zip(units.tolist(), first.tolist()):
             got = self.known.get(h)
             if got is None:
-                got = np.array(self.unit(text[starts[f] : ends[f]]), np.int32).tobytes()
+                got = self.older.get(h)
+                if got is None:
+                    got = np.array(self.unit(text[starts[f] : ends[f]]), np.int32).tobytes()
                 if ends[f] - starts[f] <= 64:
                     self.known[h] = got
             ids.append(got)
@@ -181,7 +185,7 @@ class Pieces:
         return np.concatenate([np.array(head, np.int32), self.many(text[f:last], np.array([0, last - f]))[0], np.array(tail, np.int32)])
 
     def decode(self, ids: np.ndarray) -> str:
-        text = b"".join([self.raw[i] for i in ids.tolist()]).decode("utf-8", "replace")
+        text = b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
