@@ -20,7 +20,7 @@ GAP = "▁"
 #: no path; weights are integers, exact in sums
 NONE = -(10**37)
 #: distinct units kept per worker; the ones not met since the last turn are forgotten
-MOST_WORDS = 450_000
+MOST_WORDS = 250_000
 
 
 class Pieces:
@@ -109,7 +109,34 @@ class Pieces:
         return out
 
     def unit(self, text: str) -> list[int]:
-        return self.path(text, 0, self.backward(text, len(text), len(text))[2], len(text))
+        """Best pieces of a unit; the tie-break is only worked out where two ways score alike."""
+        n, root = len(text), self.root
+        best, step, piece = [0] * (n + 1), [0] * n, [-1] * n
+        for i in range(n - 1, -1, -1):
+            top, nodes = None, root
+            for j in range(i, n):
+                node = nodes.get(text[j])
+                if node is None:
+                    break
+                nodes, w, which = node
+                if w is not None:
+                    w += best[j + 1]
+                    if top is None or w > top:
+                        top = w
+                        step[i], piece[i] = j + 1, which
+                    elif w == top:
+                        return self.path(text, 0, self.backward(text, n, n)[2], n)
+            if top is None:
+                top, step[i] = self.unknown + best[i + 1], i + 1
+            best[i] = top
+        out, i = [], 0
+        while i < n:
+            if piece[i] >= 0:
+                out.append(piece[i])
+            else:
+                out += [self.byte[b] for b in text[i].encode()]
+            i = step[i]
+        return out
 
     def cuts(self, text: str) -> np.ndarray:
         """Positions that no piece can span."""
