@@ -195,8 +195,12 @@ def _held(spark, sf):
 
 def stream_events(spark, sf):
     """The stored events as a streaming source."""
-    schema = V.table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    schema, path = V.table(spark, sf, "events").schema, f"{sf}/events.parquet"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    one_file = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target).isFile()
+    stream = spark.readStream.schema(schema)
+    # a file source takes folders, so a table in one file is picked out of its folder
+    return stream.option("pathGlobFilter", "events.parquet").parquet(sf) if one_file else stream.parquet(path)
 
 
 def _session_stream(spark, sf):
@@ -215,10 +219,8 @@ def _motion_stream(spark, sf):
     k = F.get_json_object("props", "$.k").cast("double")
     readings = stream_events(spark, sf).select(F.col("user_id").alias("device_id"), "ts", "event_id", (F.col("value") / 500).alias("x"),
                                                (k / 500).alias("y"), F.lit(0.0).alias("z"))
-    q = (SM.steadiness_stream(readings).writeStream.format("parquet").option("path", path).option("checkpointLocation", check)
-         .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.schema(SM.OUTPUT).parquet(path).select("device_id", "event_id", F.round("percent", 6).alias("percent"), "fired")
+    SM.start_motion_log(readings, path, check).awaitTermination()
+    return SM.current_steadiness(spark, path).select("device_id", "event_id", F.round("percent", 6).alias("percent"), "fired")
 
 
 QUERIES = {

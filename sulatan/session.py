@@ -29,11 +29,13 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's checkpoint folder.
 
-    The folder named in ``spark.checkpoint.dir`` is shared by all executors.
-    Only a session without that setting (a local test) gets a temporary one.
+    The folder named in ``spark.checkpoint.dir`` is shared by all executors. A
+    local session without that setting uses a temporary folder; elsewhere the
+    setting is required, as a local folder would be another one per machine.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="sulatan-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = os.path.join(tempfile.gettempdir(), f"sulatan-{os.getpid()}")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

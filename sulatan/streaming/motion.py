@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sulatan.operators.motion import FRAME, HOLD_SECONDS, JITTER_AT_ZERO, STEADY_PERCENT, magnitude
+from sulatan.operators.motion import FRAME, HOLD_SECONDS, JITTER_AT_ZERO, STEADY_PERCENT, held_steady, magnitude, steadiness
 
 OUTPUT = "device_id long, ts timestamp, event_id long, percent double, fired boolean"
 STATE = "recent array<double>, since timestamp, fired boolean, last_ts timestamp, last_id long"
@@ -52,9 +53,31 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
 def steadiness_stream(readings: DataFrame, late: str = "10 seconds") -> DataFrame:
     """Per reading: percent steady and whether it fires the held-steady event.
 
-    State per device is twenty numbers and a few scalars. Readings older than
-    the watermark, or older than the device's newest reading, are dropped.
+    For readings that come in time order: state per device is twenty numbers
+    and a few scalars, and readings older than the watermark, or than the
+    device's newest one, are dropped. `start_motion_log` takes any order.
     """
     df = (readings.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
           .select("device_id", "ts", "event_id", magnitude().alias("magnitude")))
     return df.groupBy("device_id").applyInPandasWithState(_advance, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def start_motion_log(readings: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Keep every reading of a stream, late or not, below ``path``; a retried batch replaces itself."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id:010d}")
+
+    columns = [F.col("ts").cast("timestamp").alias("ts") if c == "ts" else F.col(c) for c in ("device_id", "ts", "event_id", "x", "y", "z")]
+    return (readings.select(*columns).writeStream.option("checkpointLocation", checkpoint)
+            .foreachBatch(write).trigger(**(trigger or {"availableNow": True})).start())
+
+
+def current_steadiness(spark: SparkSession, path: str) -> DataFrame:
+    """Percent steady and held-steady events of all kept readings, by the batch operators.
+
+    Where a late reading falls between earlier ones, the frames around it come
+    out as if it had been there from the start.
+    """
+    steady = steadiness(spark.read.option("basePath", path).parquet(path).drop("batch"))
+    fired = held_steady(steady).select("device_id", "event_id", F.lit(True).alias("fired"))
+    return steady.join(fired, ["device_id", "event_id"], "left").select("device_id", "ts", "event_id", "percent", F.coalesce("fired", F.lit(False)).alias("fired"))

@@ -7,36 +7,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def session_updates(events: DataFrame, late: str = "1 day", window: str = "1 day") -> DataFrame:
-    """Per session and window: latest status, first and last time, number of events.
+def session_states(events: DataFrame) -> DataFrame:
+    """Per session: newest status, first and last time, number of events.
 
-    A session with very many events is reduced inside each task before the
-    shuffle. State is one row per session and window and leaves once the
-    watermark has passed the window.
+    A partial state: the states of any parts of the log, in any order, merge
+    to the state of the whole (`current_sessions`). A session with very many
+    events is reduced inside each task before the shuffle.
     """
-    df = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    return df.groupBy(F.window("ts", window), "session_id").agg(
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).groupBy("session_id").agg(
         F.max_by("status", F.struct("ts", "event_id")).alias("status"), F.min("ts").alias("first_ts"),
-        F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n_events"),
-        F.max(F.struct("ts", "event_id")).alias("newest"),
-    ).select("session_id", F.col("window.start").alias("window_start"), "status", "first_ts", "last_ts", "n_events",
+        F.count(F.lit(1)).alias("n_events"), F.max(F.struct("ts", "event_id")).alias("newest"),
+    ).select("session_id", "status", "first_ts", F.col("newest.ts").alias("last_ts"), "n_events",
              F.col("newest.event_id").alias("last_event_id"))
 
 
 def start_session_log(events: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Write changed rows of each micro-batch below ``path``; a retried batch replaces itself."""
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id:010d}")
+    """Write each micro-batch's session states below ``path``; a retried batch replaces itself.
 
-    return (session_updates(events).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-            .foreachBatch(upsert).trigger(**(trigger or {"availableNow": True})).start())
+    There is no watermark: late and out-of-order events count like others.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        session_states(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id:010d}")
+
+    return (events.writeStream.option("checkpointLocation", checkpoint)
+            .foreachBatch(write).trigger(**(trigger or {"availableNow": True})).start())
 
 
 def current_sessions(spark: SparkSession, path: str) -> DataFrame:
-    """Newest state of every session from the written batches."""
-    changes = spark.read.option("basePath", path).parquet(path)
-    newest = F.max_by(F.struct("status", "first_ts", "last_ts", "n_events", "last_event_id"), "batch")
-    windows = changes.groupBy("session_id", "window_start").agg(newest.alias("w")).select("session_id", "w.*")
-    return windows.groupBy("session_id").agg(
+    """State of every session from the written batches."""
+    parts = spark.read.option("basePath", path).parquet(path)
+    return parts.groupBy("session_id").agg(
         F.max_by("status", F.struct("last_ts", "last_event_id")).alias("status"), F.min("first_ts").alias("start_time"),
         F.max("last_ts").alias("end_time"), F.sum("n_events").alias("n_events"))

@@ -1,11 +1,14 @@
 import datetime as dt
 import random
+import shutil
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sulatan.operators import kernel as K
 from sulatan.operators import motion as M
+from sulatan.plans import registry
 from sulatan.streaming import motion as SM
 from sulatan.streaming import session_log as SL
 
@@ -69,6 +72,36 @@ def test_stream_over_several_batches(spark, tmp_path):
     assert {r["event_id"] for r in got if r["fired"]} == fired
 
 
+@pytest.mark.parametrize("backwards", [False, True])
+def test_logged_stream_in_any_order(spark, tmp_path, backwards):
+    rows = sorted(readings(), key=lambda r: r[1], reverse=backwards)
+    for i in range(0, len(rows), 64):
+        spark.createDataFrame(rows[i:i + 64], SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in" / f"part{i:04d}"))
+    src = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    SM.start_motion_log(src, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    want, fired = by_hand(rows := sorted(rows, key=lambda r: r[1]))
+    got = SM.current_steadiness(spark, str(tmp_path / "out")).collect()
+    assert {r["event_id"] for r in got} == set(want) and len(got) == len(want)
+    assert np.allclose([r["percent"] for r in got], [want[r["event_id"]] for r in got])
+    assert {r["event_id"] for r in got if r["fired"]} == fired
+
+
+@pytest.mark.parametrize("layout", ["file", "folder"])
+def test_stream_queries_read_files_and_folders(spark, tmp_path, layout):
+    """Newest events first, one file or many: no event is missing."""
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").orderBy(F.desc("ts"))
+    parts = tmp_path / "parts"
+    (events.coalesce(1) if layout == "file" else events.repartitionByRange(7, F.desc("ts"))).write.parquet(str(parts))
+    if layout == "file":
+        shutil.copy(next(parts.glob("part-*.parquet")), tmp_path / "events.parquet")
+    else:
+        shutil.copytree(parts, tmp_path / "events.parquet")
+    queries = registry.queries()
+    assert queries["session_log_stream"](spark, str(tmp_path)).agg(F.sum("n_events")).first()[0] == events.count()
+    whole = queries["steadiness"](spark, str(tmp_path)).count()
+    assert queries["steadiness_stream"](spark, str(tmp_path)).count() == whole > 0
+
+
 def test_session_log(spark, tmp_path):
     base = dt.datetime(2024, 1, 1)
     for i, (s, t, status) in enumerate([(1, 0, "Processing"), (2, 1, "Processing"), (1, 2, "Success"), (2, 30, "Error")]):
