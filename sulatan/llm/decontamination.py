@@ -17,6 +17,8 @@ BLOCK_WORDS = 1 << 20
 #: alignments done at once
 LANES = 256
 FILTER_BITS = 18
+#: an n-gram this many times as common as its item's median one is no seed
+COMMONER = 16
 
 
 class Items:
@@ -118,7 +120,11 @@ def _leaks(batch: pa.RecordBatch, items: Items, flags: np.ndarray, size: int, le
 
 
 def _rare(items: Items, counts: dict[str, np.ndarray]) -> np.ndarray:
-    """Of each item, its n-grams of at most its median corpus count (ties stay)."""
+    """Of each item, its n-grams that are not far commoner than its median one.
+
+    A leak that was copied often raises its item's counts alike; an edited
+    copy lowers some. Neither loses seeds, while common phrases do.
+    """
     order = np.argsort(counts["gram"].astype(np.int64).view(np.uint64))
     known, n = counts["gram"].astype(np.int64).view(np.uint64)[order], counts["n"].astype(np.int64)[order]
     seen = np.zeros(len(items.grams), np.int64)
@@ -128,7 +134,7 @@ def _rare(items: Items, counts: dict[str, np.ndarray]) -> np.ndarray:
     keep = np.zeros(len(seen), bool)
     by = np.argsort(items.item, kind="stable")
     for own in np.split(by, np.flatnonzero(np.diff(items.item[by])) + 1) if len(by) else []:
-        keep[own] = seen[own] <= np.median(seen[own])
+        keep[own] = seen[own] <= COMMONER * (np.median(seen[own]) + 1)
     return keep
 
 
@@ -147,9 +153,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 3, least: float = 0
     """Pairs ``(doc_id, item_id, score, similarity)`` of texts that hold a test item.
 
     Words are lower-cased runs of letters and digits. First every n-gram of
-    the items is counted over all texts. An item's seeds are its rarer half,
-    ties included, so common phrases start no alignment, while a leak that
-    was copied often keeps its seeds. Where a seed occurs, the words around it
+    the items is counted over all texts. An item's seeds are those not far
+    commoner than its median one, so common phrases start no alignment, while
+    a leak that was copied often, or edited, keeps its seeds. Where a seed occurs, the words around it
     are aligned with the whole item (`align`); a pair is reported when the
     best score reaches ``least`` of the item's word count. Items are a query
     set: they are held in blocks of bounded size, against all texts.

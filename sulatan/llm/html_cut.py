@@ -95,7 +95,9 @@ def blocks(page: str) -> list[Block]:
                 close = page.find(">", end.start()) if end else -1
                 at = close + 1 if close >= 0 else len(page)
             continue
-        if name == "a":
+        if name == "br":
+            add(" ")
+        elif name == "a":
             links += 1
         elif name in BLOCKS or name in AWAY:
             now, links = None, 0

@@ -28,6 +28,8 @@ CODE[list(ALPHABET.encode())] = np.arange(1, SYMBOLS)
 HEXES = np.isin(np.arange(256), list(b"0123456789abcdef"))
 #: characters of a string that is judged, and of one that is learned from
 JUDGED, LEARNED = 20, 8
+#: virtual counts after each character
+PRIOR = 16.0
 COLUMNS = "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string, found array<struct<kind: string, start: int, end: int>>"
 
 
@@ -120,15 +122,19 @@ def _counts(batches):
 def fit_models(docs: DataFrame) -> np.ndarray:
     """Log-likelihood ratio, random over ordinary, of each character after each other.
 
-    Pair counts of all rows, two models of fixed size. One virtual count per
-    pair smooths both.
+    Pair counts of all rows, two models of fixed size. After a character seen
+    little, the random model expects any character alike, and the ordinary one
+    the characters that ordinary strings have.
     """
     counts = docs.select("text").mapInArrow(_counts, "label int, pair int, n long").groupBy("label", "pair").agg(F.sum("n").alias("n"))
     got = bounded(counts, 2 * SYMBOLS * SYMBOLS)
-    n = np.ones((2, SYMBOLS * SYMBOLS))
+    n = np.zeros((2, SYMBOLS * SYMBOLS))
     n[got["label"].astype(int), got["pair"].astype(int)] += got["n"]
     n = n.reshape(2, SYMBOLS, SYMBOLS)[:, :, 1:]
-    p = np.log(n / n.sum(axis=2, keepdims=True))
+    n[0] = np.maximum(n[0] - 1, 0)  # a pair seen once may be the very string that is judged
+    alone = np.stack([n[0].sum(axis=0) + 1, np.ones(SYMBOLS - 1)])
+    alone /= alone.sum(axis=1, keepdims=True)
+    p = np.log((n + PRIOR * alone[:, None, :]) / (n.sum(axis=2, keepdims=True) + PRIOR))
     return np.pad(p[1] - p[0], ((0, 0), (1, 0)))
 
 

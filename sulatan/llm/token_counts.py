@@ -289,7 +289,8 @@ def _summaries(path: str):
     def run(batches):
         for batch in batches:
             inner, head, tail, cuts = zip(*(counter(path).summary(t) for t in batch.column(3).to_pylist())) if batch.num_rows else ((),) * 4
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(inner, pa.int64()), pa.array(head, pa.string()), pa.array(tail, pa.string()), pa.array([int(c) for c in cuts], pa.int64())], ["row", "doc_id", "k", "inner", "head", "tail", "cuts"])
+            size = [len(t.encode()) for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(size, pa.int64()), pa.array(inner, pa.int64()), pa.array(head, pa.string()), pa.array(tail, pa.string()), pa.array([int(c) for c in cuts], pa.int64())], ["row", "doc_id", "k", "size", "inner", "head", "tail", "cuts"])
 
     return run
 
@@ -314,16 +315,14 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
     size = F.octet_length("text").cast("long").alias("n_bytes")
     kept = short.select("doc_id", size, "text").mapInArrow(_counted(path), "doc_id long, n_bytes long, n_tokens long")
 
-    chunks = cut(long, chunk).mapInArrow(_summaries(path), "row long, doc_id long, k long, inner long, head string, tail string, cuts long")
+    chunks = cut(long, chunk).mapInArrow(_summaries(path), "row long, doc_id long, k long, size long, inner long, head string, tail string, cuts long")
     chunks = chunks.withColumn("seam", F.sum("cuts").over(Window.partitionBy("row").orderBy("k")))
-    seams = chunks.select("row", "doc_id", "inner", F.explode(F.array(
+    seams = chunks.select("row", "doc_id", "size", "inner", F.explode(F.array(
         F.struct((F.col("seam") - F.col("cuts")).alias("seam"), F.col("k"), F.lit(0).alias("side"), F.col("head").alias("text")),
         F.struct(F.col("seam"), F.col("k"), F.lit(1).alias("side"), F.col("tail").alias("text")))).alias("s"))
-    seams = seams.select("row", "doc_id", F.when(F.col("s.side") == 0, F.col("inner")).otherwise(0).alias("inner"), "s.*")
-    seams = seams.groupBy("row", "doc_id", "seam").agg(F.sum("inner").alias("inner"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "side", "text"))), lambda x: x["text"]), "").alias("text"))
-    counted = seams.select("row", "doc_id", "inner", "text").mapInArrow(_counted(path), "row long, doc_id long, inner long, n_tokens long")
-    totals = counted.groupBy("row", "doc_id").agg(F.sum(F.col("inner") + F.col("n_tokens")).alias("n_tokens"))
-    # bytes of the long rows: those inside, before and after the cuts
-    sizes = long.select(F.monotonically_increasing_id().alias("row"), size)
-    counted = kept.unionByName(totals.join(sizes, "row").select("doc_id", "n_bytes", "n_tokens"))
+    seams = seams.select("row", "doc_id", F.when(F.col("s.side") == 0, F.col("inner")).otherwise(0).alias("inner"), F.when(F.col("s.side") == 0, F.col("size")).otherwise(0).alias("size"), "s.*")
+    seams = seams.groupBy("row", "doc_id", "seam").agg(F.sum("inner").alias("inner"), F.sum("size").alias("size"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "side", "text"))), lambda x: x["text"]), "").alias("text"))
+    counted = seams.select("row", "doc_id", "size", "inner", "text").mapInArrow(_counted(path), "row long, doc_id long, size long, inner long, n_tokens long")
+    totals = counted.groupBy("row", "doc_id").agg(F.sum("size").alias("n_bytes"), F.sum(F.col("inner") + F.col("n_tokens")).alias("n_tokens"))
+    counted = kept.unionByName(totals.select("doc_id", "n_bytes", "n_tokens"))
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
