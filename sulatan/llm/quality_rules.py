@@ -65,7 +65,7 @@ def measures(docs: DataFrame) -> DataFrame:
     return left.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("at")
 
 
-def fit_rules(votes: DataFrame, names: list[str], rounds: int = 40, tol: float = 1e-5) -> tuple[float, dict[str, tuple[float, float]]]:
+def fit_rules(votes: DataFrame, names: list[str], rounds: int = 25, tol: float = 1e-4) -> tuple[float, dict[str, tuple[float, float]]]:
     """EM on ``votes(<rule columns>, n)``, one row per vote pattern.
 
     Returns the share of good texts and, per rule, how often its votes are
@@ -75,7 +75,7 @@ def fit_rules(votes: DataFrame, names: list[str], rounds: int = 40, tol: float =
     # start: a rule seldom fires on good text and catches only some of the bad
     prior, right = 0.8, {r: (0.999, 0.3) for r in names}
     for _ in range(rounds):
-        p = posterior(prior, right)
+        p = _posterior_by_array(prior, right)
         sums = [F.sum(p * F.col("n")).alias("good"), F.sum("n").alias("all")]
         for r in names:
             for label, weight in (("g", p), ("b", 1 - p)):
@@ -93,11 +93,30 @@ def fit_rules(votes: DataFrame, names: list[str], rounds: int = 40, tol: float =
     return prior, right
 
 
+def _odds(prior: float, right: dict[str, tuple[float, float]]) -> tuple[float, list[tuple[float, float]]]:
+    """Log-odds of a good text before any vote, and what each rule's bad and good vote adds."""
+    return log(prior) - log(1 - prior), [(log((1 - good) / bad), log(good / (1 - bad))) for good, bad in right.values()]
+
+
+def _posterior_by_array(prior: float, right: dict[str, tuple[float, float]]) -> Column:
+    """`posterior` for vote patterns, with the numbers in an array.
+
+    The generated code is then the same in every round and compiled once.
+    """
+    start, adds = _odds(prior, right)
+    table = F.array(*(F.lit(x) for x in [start, *(x for pair in adds for x in pair)]))
+    odds = F.element_at(table, (F.pmod("n", F.lit(1)) + 1).cast("int"))
+    for k, r in enumerate(right):
+        odds = odds + F.coalesce(F.element_at(table, F.col(r) + 2 * k + 2), F.lit(0.0))
+    return 1 / (1 + F.exp(-odds))
+
+
 def posterior(prior: float, right: dict[str, tuple[float, float]]) -> Column:
     """Probability of a good text given its votes."""
-    odds = F.lit(log(prior) - log(1 - prior))
-    for r, (good, bad) in right.items():
-        odds = odds + F.when(F.col(r) == 1, log(good / (1 - bad))).when(F.col(r) == 0, log((1 - good) / bad)).otherwise(0.0)
+    start, adds = _odds(prior, right)
+    odds = F.lit(start)
+    for r, (no, yes) in zip(right, adds):
+        odds = odds + F.when(F.col(r) == 1, yes).when(F.col(r) == 0, no).otherwise(0.0)
     return 1 / (1 + F.exp(-odds))
 
 
