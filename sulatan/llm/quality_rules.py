@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import log
+from math import exp, log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,27 +65,28 @@ def measures(docs: DataFrame) -> DataFrame:
     return left.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("at")
 
 
-def fit_rules(votes: DataFrame, names: list[str], rounds: int = 25, tol: float = 1e-4) -> tuple[float, dict[str, tuple[float, float]]]:
+def fit_rules(votes: DataFrame, names: list[str], rounds: int = 40, tol: float = 1e-5) -> tuple[float, dict[str, tuple[float, float]]]:
     """EM on ``votes(<rule columns>, n)``, one row per vote pattern.
 
     Returns the share of good texts and, per rule, how often its votes are
-    right on good and on bad texts. Patterns number at most ``3 ** rules``;
-    per round only the sums (a handful of numbers) reach the driver.
+    right on good and on bad texts. Patterns number at most ``3 ** rules``,
+    whatever the number of texts, so their counts are taken to the driver.
     """
+    rows = [(tuple(r[k] for k in names), r["n"]) for r in votes.orderBy(*names).collect()]
+    total = sum(n for _, n in rows)
     # start: a rule seldom fires on good text and catches only some of the bad
     prior, right = 0.8, {r: (0.999, 0.3) for r in names}
-    for _ in range(rounds):
-        p = _posterior_by_array(prior, right)
-        sums = [F.sum(p * F.col("n")).alias("good"), F.sum("n").alias("all")]
-        for r in names:
-            for label, weight in (("g", p), ("b", 1 - p)):
-                sums += [F.sum(F.when(F.col(r).isNotNull(), weight * F.col("n"))).alias(f"{r}_{label}"), F.sum(F.when(F.col(r) == (1 if label == "g" else 0), weight * F.col("n"))).alias(f"{r}_{label}r")]
-        s = votes.agg(*sums).first()
-        if not s["all"]:
-            break
-        # a few virtual votes at the starting rates keep rates off 0 and 1
-        rate = lambda r, k: ((s[f"{r}_{k}r"] or 0) + {"g": 9.99, "b": 3}[k]) / ((s[f"{r}_{k}"] or 0) + 10)
-        new_prior, new = (s["good"] + 9) / (s["all"] + 10), {r: (rate(r, "g"), rate(r, "b")) for r in names}
+    for _ in range(rounds if total else 0):
+        start, adds = _odds(prior, right)
+        good = [n / (1 + exp(-start - sum(adds[k][v] for k, v in enumerate(vote) if v is not None))) for vote, n in rows]
+
+        def rate(k: int, vote: int, weights: list[float], share: float) -> float:
+            # ten virtual votes at the starting rates keep rates off 0 and 1
+            cast = [(v[k], w) for (v, _), w in zip(rows, weights) if v[k] is not None]
+            return (sum(w for v, w in cast if v == vote) + 10 * share) / (sum(w for _, w in cast) + 10)  # noqa: B023
+
+        bad = [n - g for (_, n), g in zip(rows, good)]
+        new_prior, new = (sum(good) + 9) / (total + 10), {r: (rate(k, 1, good, 0.999), rate(k, 0, bad, 0.3)) for k, r in enumerate(names)}
         moved = max([abs(new_prior - prior), *(abs(x - y) for r in names for x, y in zip(new[r], right[r]))])
         prior, right = new_prior, new
         if moved < tol:
@@ -98,19 +99,6 @@ def _odds(prior: float, right: dict[str, tuple[float, float]]) -> tuple[float, l
     return log(prior) - log(1 - prior), [(log((1 - good) / bad), log(good / (1 - bad))) for good, bad in right.values()]
 
 
-def _posterior_by_array(prior: float, right: dict[str, tuple[float, float]]) -> Column:
-    """`posterior` for vote patterns, with the numbers in an array.
-
-    The generated code is then the same in every round and compiled once.
-    """
-    start, adds = _odds(prior, right)
-    table = F.array(*(F.lit(x) for x in [start, *(x for pair in adds for x in pair)]))
-    odds = F.element_at(table, (F.pmod("n", F.lit(1)) + 1).cast("int"))
-    for k, r in enumerate(right):
-        odds = odds + F.coalesce(F.element_at(table, F.col(r) + 2 * k + 2), F.lit(0.0))
-    return 1 / (1 + F.exp(-odds))
-
-
 def posterior(prior: float, right: dict[str, tuple[float, float]]) -> Column:
     """Probability of a good text given its votes."""
     start, adds = _odds(prior, right)
@@ -133,7 +121,7 @@ def _verdict(votes: DataFrame, patterns: DataFrame, threshold: float) -> DataFra
 
 
 def _patterns(votes: DataFrame) -> DataFrame:
-    return save(votes.groupBy(*RULES).agg(F.count("*").alias("n")).coalesce(1), "patterns")
+    return votes.groupBy(*RULES).agg(F.count("*").alias("n"))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
