@@ -20,7 +20,7 @@ GAP = "▁"
 #: no path; weights are integers, exact in sums
 NONE = -(10**37)
 #: distinct units kept per worker; the ones not met since the last turn are forgotten
-MOST_WORDS = 250_000
+MOST_WORDS = 120_000
 
 
 class Pieces:
