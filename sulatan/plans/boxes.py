@@ -126,7 +126,8 @@ def _reject(spark, sf):
     code = F.ascii("char")
     cands = V.v_marks(spark, sf).select(
         "page_id", (F.col("y1") - F.col("y0")).alias("height"), ((code * 7 + F.col("comp_id")) % 100 < 25).alias("textured"),
-        ((code * 3 + F.col("comp_id")) % 100 < 10).alias("is_word"), (~F.col("is_mark")).alias("kept"), (F.col("confidence") < 70).alias("rejected"))
+        ((code * 3 + F.col("comp_id")) % 100 < 10).alias("is_word"), (~F.col("is_mark") & ((code + F.col("page_id")) % 3 != 0)).alias("kept"),
+        (~F.col("is_mark")).alias("letter"), ((code + F.col("page_id")) % 7 < F.col("page_id") % 8).alias("rejected"))
     return B.page_reject(cands)
 
 
@@ -441,14 +442,14 @@ ORACLES = {
         d AS (SELECT k.page_id, count(*) AS nd FROM k JOIN a USING (page_id, line_no, comp_id) WHERE x0 <= 2 OR x1 >= img_w - 2 OR gap IS NULL OR gap >= 0.6 * mh GROUP BY ALL)
         SELECT page_id, count(*) AS n, coalesce(any_value(nd), 0)::BIGINT AS n_dropped FROM c LEFT JOIN d USING (page_id) GROUP BY ALL""", "v_marks"),
     "page_reject": with_views("""
-        WITH c AS (SELECT page_id, y1 - y0 AS h, (ord(char) * 7 + comp_id) % 100 < 25 AS tx, (ord(char) * 3 + comp_id) % 100 < 10 AS wd, NOT is_mark AS kept, confidence < 70 AS rej FROM v_marks),
+        WITH c AS (SELECT page_id, y1 - y0 AS h, (ord(char) * 7 + comp_id) % 100 < 25 AS tx, (ord(char) * 3 + comp_id) % 100 < 10 AS wd, NOT is_mark AND (ord(char) + page_id) % 3 <> 0 AS kept, NOT is_mark AS letter, (ord(char) + page_id) % 7 < page_id % 8 AS rej FROM v_marks),
         a AS (SELECT page_id, count(*) AS candidates, count(*) FILTER (WHERE tx) AS n_textured, count(*) FILTER (WHERE wd) AS n_words, count(*) FILTER (WHERE kept) AS n_kept,
-                count(*) FILTER (WHERE rej) AS n_rejected, quantile_cont(h, 0.25) FILTER (WHERE kept) AS q1, median(h) FILTER (WHERE kept) AS q2, quantile_cont(h, 0.75) FILTER (WHERE kept) AS q3 FROM c GROUP BY ALL),
-        s AS (SELECT *, n_textured / candidates::DOUBLE AS texture_share, n_words / candidates::DOUBLE AS word_share, CASE WHEN n_kept >= 3 THEN (q3 - q1) / greatest(1.0, q2) ELSE 0.0 END AS height_spread FROM a),
-        t AS (SELECT *, texture_share >= 0.35 OR (texture_share >= 0.2 AND height_spread > 0.75) AS tex FROM s)
-        SELECT page_id, candidates, n_textured, n_words, n_kept, n_rejected, texture_share, word_share, height_spread,
+                count(*) FILTER (WHERE letter) AS n_letters, count(*) FILTER (WHERE letter AND rej) AS n_rejected, quantile_cont(h, 0.25) FILTER (WHERE kept) AS q1, median(h) FILTER (WHERE kept) AS q2, quantile_cont(h, 0.75) FILTER (WHERE kept) AS q3 FROM c GROUP BY ALL),
+        s AS (SELECT *, n_textured / candidates::DOUBLE AS texture_share, n_words / candidates::DOUBLE AS word_share, CASE WHEN n_kept >= 3 THEN (q3 - q1) / greatest(1.0, q2) ELSE 0.0 END AS height_spread, CASE WHEN n_kept > 0 THEN (q3 - q1) / greatest(1.0, q2) ELSE 0.0 END AS latin_spread FROM a),
+        t AS (SELECT *, texture_share >= 0.35 OR (texture_share >= 0.2 AND height_spread > 0.75) AS tex, texture_share >= 0.35 OR (texture_share >= 0.2 AND latin_spread > 0.75) AS latin_tex FROM s)
+        SELECT page_id, candidates, n_textured, n_words, n_kept, n_letters, n_rejected, texture_share, word_share, height_spread, latin_spread,
                CASE WHEN n_kept = 0 THEN 'empty' WHEN n_words >= 3 AND word_share >= 0.15 THEN 'words' WHEN tex THEN 'texture' WHEN candidates >= 8 AND n_kept < 0.5 * candidates THEN 'few_kept' ELSE 'ok' END AS verdict,
-               CASE WHEN n_kept = 0 THEN 'empty' WHEN tex THEN 'texture' WHEN n_rejected / candidates::DOUBLE >= 0.5 THEN 'unknown_letters' ELSE 'ok' END AS latin_verdict FROM t""", "v_marks"),
+               CASE WHEN n_kept = 0 THEN 'empty' WHEN latin_tex THEN 'texture' WHEN n_letters > 0 AND n_rejected / n_letters::DOUBLE >= 0.5 THEN 'unknown_letters' ELSE 'ok' END AS latin_verdict FROM t""", "v_marks"),
     "fit_baseline": with_views(f"""WITH {_BASE}
         SELECT page_id, line_no, round(slope, 6) + 0.0 AS slope, round(intercept, 4) + 0.0 AS intercept, xh AS x_height, th AS tall_height, n AS n_small, mixed_case FROM bl""", "v_written"),
     "position_fix": with_views(f"""WITH {_BASE},

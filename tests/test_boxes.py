@@ -114,74 +114,46 @@ def test_row_clusters_and_reading_order(spark):
             assert lines[page, x0, y0, x1, y1] == line
 
 
-def bands_of(values, full):
-    n = len(values)
-    size = max(3, int(round(n * .02)) | 1)
-    smooth = np.array([sum(values[max(0, r - size // 2):r + size // 2 + 1]) for r in range(n)]) / size
-    core = smooth > smooth.max() * .3
-    runs, start = [], None
-    for i, c in enumerate([*core, False]):
-        if c and start is None:
-            start = i
-        if not c and start is not None:
-            runs.append([start, i])
-            start = None
-    med = float(np.median([b - a for a, b in runs]))
-    merged = [runs[0][:]]
-    for a, b in runs[1:]:
-        p = merged[-1]
-        if a - p[1] <= max(5, .6 * med) and not (full and min(b - a, p[1] - p[0]) >= .6 * med):
-            p[1] = b
-        else:
-            merged.append([a, b])
-    x, out = max(5, int(round(med * .5))), []
-    for i, (a, b) in enumerate(merged):
-        l0 = (merged[i - 1][1] + a) // 2 if i else 0
-        l1 = (b + merged[i + 1][0]) // 2 if i + 1 < len(merged) else n
-        y0, y1 = max(l0, a - x), min(l1, b + x)
-        while y0 > l0 and values[y0]:
-            y0 -= 1
-        while y1 < l1 and values[y1]:
-            y1 += 1
-        out.append((y0, y1))
-    return out
-
-
-@pytest.mark.parametrize("full", [False, True])
-def test_bands(spark, full):
-    rng = random.Random(9)
-    data, want = [], {}
-    for page in range(6):
-        values = []
-        while len(values) < 400:
-            values += [rng.randint(3, 9)] * rng.randint(8, 25) + [0] * rng.randint(2, 18) + [1] * rng.choice([0, 3])
-        while not values[-1]:
-            values.pop()
-        want[page] = bands_of(values, full)
-        data += [(page, r, v) for r, v in enumerate(values) if v]
+@pytest.mark.parametrize("full, inked, want", [
+    (False, [(20, 40), (60, 80)], [(8, 50), (50, 80)]),  # far apart: two bands that meet half way
+    (False, [(20, 40), (44, 64)], [(8, 64)]),  # a thin gap is bridged
+    (True, [(20, 40), (44, 64)], [(8, 42), (42, 64)]),  # unless both sides are whole lines
+])
+def test_bands(spark, full, inked, want):
+    data = [(page, row, 6 + page) for page in range(3) for a, b in inked for row in range(a, b)]
     out = W.detect_bands(spark.createDataFrame(data, "page_id int, row int, value int"), ["page_id"], keep_full_lines=full)
     got = {}
     for r in out.orderBy("page_id", "band").collect():
         got.setdefault(r["page_id"], []).append((r["y0"], r["y1"]))
-    assert got == want
-
-
-@pytest.mark.parametrize("rule", B.MERGE_RULES)
-def test_merging_whole_lines_gives_the_same(spark, rule):
-    rng = random.Random(6)
-    rows = []
-    for line in range(25):
-        for _ in range(rng.randint(1, 14)):
-            x, y = rng.randint(0, 120), rng.randint(0, 40)
-            rows.append((0, line, float(x), float(y), float(x + rng.randint(3, 20)), float(y + rng.randint(3, 30))))
-    want = []
-    for line in range(25):
-        boxes = sorted(r[2:] for r in rows if r[1] == line)
-        med = st.median(b[3] - b[1] for b in boxes)
-        merged = B._merge_cluster(rule, boxes, max(1.0, med) if rule == "strokes" else med) if len(boxes) > 1 else boxes
-        want += [(0, line, *b) for b in merged]
-    out = B.merge_boxes(spark.createDataFrame(rows, BOX), rule, chunk_px=25.0)
-    assert sorted(tuple(r) for r in out.collect()) == sorted(want)
+    assert got == {page: want for page in range(3)}
+
+
+#: letters of height 20 that set the line's median height and never meet another box
+LETTERS = [(1000.0 + 50 * i, 0.0, 1010.0 + 50 * i, 20.0) for i in range(9)]
+
+
+@pytest.mark.parametrize("rule, pieces, want", [
+    # a dot above and one below one letter; a dot between two letters goes to the left one only
+    ("marks", [(0, 20, 10, 40), (3, 12, 6, 15), (4, 44, 7, 47)], [(0, 12, 10, 47)]),
+    ("marks", [(0, 20, 12, 40), (8, 12, 18, 15), (14, 20, 26, 40)], [(0, 12, 18, 40), (14, 20, 26, 40)]),
+    ("marks", [(0, 100, 10, 120), (3, 40, 6, 43)], [(0, 100, 10, 120), (3, 40, 6, 43)]),
+    ("stacked", [(0, 0, 10, 9), (1, 12, 9, 20), (2, 25, 10, 34)], [(0, 0, 10, 34)]),
+    ("stacked", [(0, 0, 10, 9), (1, 16, 9, 24)], [(0, 0, 10, 9), (1, 16, 9, 24)]),
+    # the middle piece prefers the one it shares more width with
+    ("strokes", [(0, 0, 8, 10), (4, 11, 16, 20), (5, 21, 16, 30)], [(0, 0, 16, 30)]),
+    ("strokes", [(0, 0, 20, 10), (10, 11, 30, 20)], [(0, 0, 20, 10), (10, 11, 30, 20)]),
+    ("duplicates", [(0, 0, 10, 20), (0, 0, 10, 20), (0, 1, 10, 20), (5, 0, 15, 20)], [(0, 0, 10, 20), (5, 0, 15, 20)]),
+])
+def test_merge_by_hand(spark, rule, pieces, want):
+    rows = [(0, line, *map(float, b)) for line in range(2) for b in pieces + LETTERS]
+    out = B.merge_boxes(spark.createDataFrame(rows, BOX), rule, chunk_px=25.0, cell=8.0)
+    assert sorted(tuple(r) for r in out.collect()) == sorted((0, line, *map(float, b)) for line in range(2) for b in want + LETTERS)
+
+
+def test_merge_under_a_ruled_line(spark):
+    rows = [(0, 0, 20.0 * i, 30.0, 20.0 * i + 10, 50.0) for i in range(5000)] + [(0, 0, 0.0, 50.0, 100000.0, 52.0)]
+    out = B.merge_boxes(spark.createDataFrame(rows, BOX), "marks").collect()
+    assert [tuple(r) for r in out] == [(0, 0, 0.0, 30.0, 100000.0, 52.0)]
 
 
 def test_noise_tags(spark):
