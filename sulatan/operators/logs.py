@@ -8,11 +8,18 @@ from pyspark.sql import functions as F
 from sulatan.operators.ordered import skew_join
 
 
+#: fixed value: the status a session opens with
+OPENING = "Processing"
+
+
 def session_latest_status(events: DataFrame, session: str = "session_id") -> DataFrame:
-    """Latest state of each session from an append-only log of status events."""
+    """Latest state of each session from an append-only log of status events.
+
+    ``end_time`` is the time of the newest update; null while a session has only opened.
+    """
     latest = F.max_by("status", F.struct("ts", "event_id"))
     return events.filter(F.col(session) != 0).groupBy(session).agg(
-        latest.alias("status"), F.min("ts").alias("start_time"), F.max("ts").alias("end_time"), F.count(F.lit(1)).alias("n_events"))
+        latest.alias("status"), F.min("ts").alias("start_time"), F.max(F.when(F.col("status") != OPENING, F.col("ts"))).alias("end_time"), F.count(F.lit(1)).alias("n_events"))
 
 
 def detection_log_rows(replies: DataFrame, detections: str = "detections", session: str = "session_id") -> DataFrame:

@@ -207,6 +207,7 @@ def _session_stream(spark, sf):
     path, check = shared_folder(spark, "sessions"), shared_folder(spark, "sessions-check")
     status = (F.when(F.col("event_type") == "purchase", "Success").when(F.col("event_type") == "view", "Low_Confidence")
               .when(F.col("event_type") == "click", "No_Characters").when(F.col("event_type") == "signup", "Blurry_Image").otherwise("Error"))
+    status = F.when(F.col("event_id") % 3 == 0, "Processing").otherwise(status)
     events = stream_events(spark, sf).select(F.col("user_id").alias("session_id"), "ts", "event_id", status.alias("status"))
     SL.start_session_log(events, path, check).awaitTermination()
     out = SL.current_sessions(spark, path)
@@ -302,7 +303,7 @@ ORACLES = {
         CASE WHEN event_id % 7 >= 4 THEN event_type END AS text, CASE WHEN event_id % 7 >= 4 THEN k END AS confidence FROM v_events""", "v_events"),
     "sanitize_detections": with_views(f"WITH {_DETS} SELECT event_id, pos, char, confidence, x1 FROM dt", "v_events"),
     "detection_log_append": with_views(f"WITH {_DETS} SELECT event_id, user_id AS session_id, pos, char, confidence FROM dt WHERE user_id <> 0", "v_events"),
-    "session_latest_status": with_views("""SELECT session_id, arg_max(status, (ts, event_id)) AS status, min(ts) AS start_time, max(ts) AS end_time
+    "session_latest_status": with_views("""SELECT session_id, arg_max(status, (ts, event_id)) AS status, min(ts) AS start_time, max(ts) FILTER (WHERE status <> 'Processing') AS end_time
         FROM v_session_events WHERE session_id <> 0 GROUP BY ALL""", "v_session_events"),
     "archive_eligible": with_views(f"WITH {_CAND} SELECT session_id, event_id, char, temp_path FROM el", "v_detections"),
     "archive_write": with_views(f"WITH {_CAND} SELECT session_id, crop_name, char AS predicted, confidence, label FROM el", "v_detections"),
@@ -337,7 +338,7 @@ ORACLES = {
     "new_pieces": with_views("SELECT word FROM v_dict WHERE word NOT IN (SELECT word FROM v_vocab)", "v_dict", "v_vocab"),
     "steadiness": with_views(f"WITH {_STEADY} SELECT device_id, event_id, round(percent, 6) AS percent FROM st", "v_motion"),
     "held_steady": with_views(f"WITH {_STEADY} SELECT device_id, started, event_id, ts AS fired_at FROM hf WHERE rn = 1", "v_motion"),
-    "session_log_stream": with_views("""SELECT session_id, arg_max(status, (ts, event_id)) AS status, min(ts) AS start_time, max(ts) AS end_time, count(*) AS n_events
+    "session_log_stream": with_views("""SELECT session_id, arg_max(status, (ts, event_id)) AS status, min(ts) AS start_time, max(ts) FILTER (WHERE status <> 'Processing') AS end_time, count(*) AS n_events
         FROM v_session_events GROUP BY ALL""", "v_session_events"),
     "steadiness_stream": with_views(f"""WITH {_STEADY} SELECT st.device_id, st.event_id, round(st.percent, 6) AS percent, hf.event_id IS NOT NULL AS fired
         FROM st LEFT JOIN hf ON hf.event_id = st.event_id AND hf.rn = 1""", "v_motion"),

@@ -17,14 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a table read by fewer tasks than there are cores.
 
     Text is exploded right after reading, so a table in one small file would be
     exploded by one task. A table with enough splits is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores, key)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores, *keys)
 
 
 def documents(spark, sf_dir) -> DataFrame:
@@ -32,7 +32,7 @@ def documents(spark, sf_dir) -> DataFrame:
 
 
 def conversations(spark, sf_dir) -> DataFrame:
-    return spread(table(spark, sf_dir, "conversations"), "turn")
+    return spread(table(spark, sf_dir, "conversations"), "conv_id", "turn")
 
 
 # --- text and vocabulary -------------------------------------------------
@@ -222,7 +222,9 @@ def v_replies(spark, sf_dir) -> DataFrame:
 
 
 def v_session_events(spark, sf_dir) -> DataFrame:
-    return v_events(spark, sf_dir).select(F.col("user_id").alias("session_id"), "ts", "event_id", "status")
+    """Status events; every third one opens its session, so that some sessions only have opened."""
+    status = F.when(F.col("event_id") % 3 == 0, "Processing").otherwise(F.col("status"))
+    return v_events(spark, sf_dir).select(F.col("user_id").alias("session_id"), "ts", "event_id", status.alias("status"))
 
 
 def v_detections(spark, sf_dir) -> DataFrame:
@@ -339,7 +341,7 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT *, CASE event_type WHEN 'purchase' THEN 'Success' WHEN 'view' THEN 'Low_Confidence'
                   WHEN 'click' THEN 'No_Characters' WHEN 'signup' THEN 'Blurry_Image' ELSE 'Error' END AS status,
                (props::JSON ->> '$.k')::DOUBLE AS k FROM events"""),
-    "v_session_events": (("v_events",), "SELECT user_id AS session_id, ts, event_id, status FROM v_events"),
+    "v_session_events": (("v_events",), "SELECT user_id AS session_id, ts, event_id, CASE WHEN event_id % 3 = 0 THEN 'Processing' ELSE status END AS status FROM v_events"),
     "v_detections": (("v_events",), """
         SELECT user_id AS session_id, event_id, substr(event_type, 1, 1) AS char, least(value, 100.0::DOUBLE) AS confidence,
                ts, k FROM v_events"""),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 IMAGE_GLOB = "*.{png,jpg,jpeg}"
 
@@ -21,22 +22,22 @@ def append_detection_log_jdbc(rows: DataFrame, url: str, table: str, **options:
 def write_archive(entries: DataFrame, path: str, key: tuple[str, ...] = ("session_id", "crop_name")) -> None:
     """Append archive entries under one folder per label; repeating a run adds nothing.
 
-    Entries already present (same key) are left out, duplicates in the input are
-    written once. Rows are spread inside each label so that a frequent label is
-    written by many tasks.
+    Rows already present and repeats in the input are written once; rows that
+    share a name but differ elsewhere are all kept. Ranges of label and key of
+    even size are dealt to the tasks, so a frequent label is written by many.
     """
     spark = entries.sparkSession
-    fresh = entries.dropDuplicates(list(key))
+    fresh = entries.distinct()
     if _exists(spark, path):
-        fresh = fresh.join(read_archive(spark, path).select(*key), list(key), "left_anti")
-    spread = F.pmod(F.xxhash64(*key), F.lit(8))
-    fresh.repartition("label", spread).write.mode("append").partitionBy("label").parquet(path)
+        fresh = fresh.subtract(read_archive(spark, path).select(entries.columns))
+    fresh.repartitionByRange("label", F.xxhash64(*key)).write.mode("append").partitionBy("label").parquet(path)
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """Archive entries; labels stay text even if they look like numbers."""
-    entries = spark.read.option("basePath", path).parquet(path)
-    return entries.withColumn("label", F.col("label").cast("string"))
+    found = spark.read.parquet(path).schema
+    schema = StructType([StructField(f.name, StringType() if f.name == "label" else f.dataType) for f in found])
+    return spark.read.schema(schema).parquet(path)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

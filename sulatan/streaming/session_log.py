@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from sulatan.operators.logs import OPENING
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -17,8 +19,9 @@ def session_states(events: DataFrame) -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp")).groupBy("session_id").agg(
         F.max_by("status", F.struct("ts", "event_id")).alias("status"), F.min("ts").alias("first_ts"),
         F.count(F.lit(1)).alias("n_events"), F.max(F.struct("ts", "event_id")).alias("newest"),
+        F.max(F.when(F.col("status") != OPENING, F.col("ts"))).alias("last_update"),
     ).select("session_id", "status", "first_ts", F.col("newest.ts").alias("last_ts"), "n_events",
-             F.col("newest.event_id").alias("last_event_id"))
+             F.col("newest.event_id").alias("last_event_id"), "last_update")
 
 
 def start_session_log(events: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
@@ -38,4 +41,4 @@ def current_sessions(spark: SparkSession, path: str) -> DataFrame:
     parts = spark.read.option("basePath", path).parquet(path)
     return parts.groupBy("session_id").agg(
         F.max_by("status", F.struct("last_ts", "last_event_id")).alias("status"), F.min("first_ts").alias("start_time"),
-        F.max("last_ts").alias("end_time"), F.sum("n_events").alias("n_events"))
+        F.max("last_update").alias("end_time"), F.sum("n_events").alias("n_events"))
