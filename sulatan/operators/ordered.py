@@ -144,44 +144,51 @@ def with_halo(df: DataFrame, keys: Sequence[str], order: Sequence[str], fields:
     return df.select(*keys, CHUNK, *order, *fields).withColumn(flag, F.lit(False)).unionByName(halo)
 
 
-BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a narrow lookup table for broadcast after counting its rows.
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a narrow lookup table for broadcast after adding up its bytes.
 
-    Beyond the bound the table is returned unmarked and the join shuffles.
+    Each task sends one number. Beyond the bound the table is returned unmarked
+    and the join shuffles.
     """
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
+    row = sum((F.coalesce(F.octet_length(f.name), F.lit(0)) if f.dataType.typeName() == "string" else F.lit(8) for f in df.schema), F.lit(16))
+    size = df.agg(F.sum(row.cast("long"))).first()[0]
+    return F.broadcast(df) if (size or 0) <= max_bytes else df
 
 
 HOT_SHARE = 1024
-HOT_SALTS = 64
 
 
 def hot_keys(counts: DataFrame, on: Sequence[str], n: str = "n") -> DataFrame:
-    """Keys holding more than 1/1024 of all rows; there can be at most 1023 of them."""
+    """Keys with more than one task's fair share of all rows, and in how many such shares to cut them.
+
+    There are fewer such keys than shares, and at most twice as many cuts. The
+    number of shares is the session's shuffle partitions, 1024 at least.
+    """
+    shares = max(HOT_SHARE, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     total = counts.agg(F.sum(n).alias("t")).scalar()
-    return counts.filter(F.col(n) * HOT_SHARE > total).select(*on).withColumn("_hot", F.lit(True))
+    cuts = F.least(F.ceil(F.col(n) * shares / total), F.col(n)).cast("int")
+    return counts.filter(F.col(n) * shares > total).select(*on, cuts.alias("_cuts"))
 
 
 def skew_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread: Sequence[str], how: str = "inner",
               counts: DataFrame | None = None) -> DataFrame:
     """Equi-join that spreads the hot keys of ``left`` over many tasks.
 
-    Keys above a fixed share of the rows are found first (from ``counts`` with
+    Keys above one task's share of the rows are found first (from ``counts`` with
     columns ``on`` and ``n``, or by counting ``left``). That list is short by
     construction, so broadcasting it is safe whatever the data size. Rows of hot
-    keys get a salt from ``spread``; only their partners in ``right`` are
-    repeated. A ``right`` side small enough is broadcast on its measured size.
+    keys get a salt from ``spread``, as many as they hold shares; only their
+    partners in ``right`` are repeated. A ``right`` side small enough is broadcast on its measured size.
     """
     on = list(on)
     if counts is None:
         counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
     hot = F.broadcast(hot_keys(counts, on))
-    salt = F.pmod(F.xxhash64(*spread), F.lit(HOT_SALTS)).cast("int")
-    salted = left.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0)).drop("_hot")
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0)))
-    copies = right.join(hot, on, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    salt = F.pmod(F.xxhash64(*spread), F.col("_cuts")).cast("int")
+    salted = left.join(hot, on, "left").withColumn("_salt", F.coalesce(salt, F.lit(0))).drop("_cuts")
+    salts = F.sequence(F.lit(0), F.coalesce("_cuts", F.lit(1)) - 1)
+    copies = right.join(hot, on, "left").withColumn("_salt", F.explode(salts)).drop("_cuts")
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")

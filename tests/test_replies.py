@@ -56,6 +56,23 @@ def test_archive_is_idempotent(spark, tmp_path):
     assert sinks.read_archive(spark, path).count() == 2
 
 
+def test_archive_keeps_colliding_names_and_text_labels(spark, tmp_path):
+    path = str(tmp_path / "archive")
+    rows = spark.createDataFrame([(1, "c0", "007", 90.0), (1, "c0", "7", 90.0), (1, "c0", "7", 80.0), (1, "c0", "7", 80.0)],
+                                 "session_id int, crop_name string, label string, confidence double")
+    for _ in range(2):
+        sinks.write_archive(rows, path)
+    got = sorted((r["label"], r["confidence"]) for r in sinks.read_archive(spark, path).collect())
+    assert got == [("007", 90.0), ("7", 80.0), ("7", 90.0)]
+
+
+def test_end_time_needs_an_update(spark):
+    rows = [(1, 1, 1, "Processing"), (1, 5, 2, "Success"), (2, 3, 3, "Processing")]
+    df = spark.createDataFrame(rows, "session_id int, ts int, event_id int, status string")
+    got = {r["session_id"]: (r["status"], r["start_time"], r["end_time"]) for r in logs.session_latest_status(df).collect()}
+    assert got == {1: ("Success", 1, 5), 2: ("Processing", 3, None)}
+
+
 def test_archive_filter(spark):
     rows = [("a", "/crops/s/1", True), ("{d/r}a", "/crops/s/2", True), ("b", "/other/3", True), ("c", "/crops/../4", True), ("d", "/crops/5", False), ("e", "/crops/gone", True), ("", "/crops/6", True)]
     d = spark.createDataFrame(rows, "char string, temp_path string, is_eligible boolean")
