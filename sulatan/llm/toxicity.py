@@ -8,22 +8,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sulatan.llm.learn import logistic, logistic_score
-from sulatan.llm.store import bounded, docs_of, held_out, labelled, save
+from sulatan.llm.store import docs_of, held_out, labelled, save
 from sulatan.llm.words import NON_WORD, Words, mix, words
 
-#: absolute discount; texts a word or pair needs; words of a passage
-DISCOUNT, LEAST_TEXTS, PASSAGE = 0.75, 3, 4
-#: share of the labelled texts that a kept word or pair must be in. Texts have a
-#: few hundred words, so at most a few hundred over this share are kept.
-LEAST_SHARE = 2e-5
-MOST_KEPT = 1 << 24
+#: absolute discount; words of a passage
+DISCOUNT, PASSAGE = 0.75, 4
+#: a class keeps at least this share for what it has not seen
+LEAST_REST = 1e-3
+#: bytes of the texts that look up their counts together
+BLOCK_BYTES = 8 << 20
 #: labelled texts, at most, that fit the final scale
 CALIBRATION_TEXTS = 20_000
 
 
 def _pairs(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word with the one before it (0 at a text's start), and that word's hash."""
-    before = np.concatenate([[0], w.hashes[:-1]]).astype(np.uint64) if len(w.hashes) else w.hashes
+    before = np.concatenate([np.zeros(1, np.uint64), w.hashes[:-1]]) if len(w.hashes) else w.hashes
     before[w.at[:-1][np.diff(w.at) > 0]] = 0
     return mix(before * np.uint64(0x9E3779B97F4A7C15) + w.hashes), before
 
@@ -54,11 +54,11 @@ def _text_counts(pairs: bool):
             keys, sides, before = [], [], []
             for w in words(batch.column(0), NON_WORD):
                 values, first = _pairs(w) if pairs else (w.hashes, w.hashes)
-                lead = dict(zip(values.tolist(), first.tolist())) if pairs else {}
                 got, row = _per_text(values, w.rows())
+                known, at = np.unique(values, return_index=True)
                 keys.append(got)
                 sides.append(label[w.lo + row])
-                before.append(np.array([lead[v] for v in got.tolist()], np.uint64) if pairs else got)
+                before.append(first[at[_find(known, got)]])
             if not keys:
                 continue
             key, side, first = np.concatenate(keys), np.concatenate(sides), np.concatenate(before)
@@ -70,105 +70,116 @@ def _text_counts(pairs: bool):
     return run
 
 
-def _known_counts(known, classes: bool, pairs: bool):
-    """Texts per known word or pair: by class, or (other = 0) of all texts."""
-
-    def run(batches):
-        keys = known.value
-        n = np.zeros((2, len(keys) + 1), np.int64)
-        for batch in batches:
-            label = batch.column(1).to_numpy() if classes else None
-            for w in words(batch.column(0), NON_WORD):
-                spot, row = _per_text(_find(keys, _pairs(w)[0] if pairs else w.hashes), w.rows())
-                side = label[w.lo + row] if classes else np.ones(len(row), np.int64)
-                for k in (0, 1):
-                    n[k] += np.bincount(spot[side == k], minlength=len(keys) + 1)
-        at = np.flatnonzero(n[:, :-1].sum(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(n[1, at]), pa.array(n[0, at])], ["key", "toxic", "other"])
+def _all_counts(batches):
+    """Texts per word, summed per batch."""
+    for batch in batches:
+        got = [_per_text(w.hashes, w.rows())[0] for w in words(batch.column(0), NON_WORD)]
+        if got:
+            key, n = np.unique(np.concatenate(got), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+
+
+def _features(ratio: np.ndarray, w: Words) -> np.ndarray:
+    """Per text: mean ratio, the best passage's, how many passages stand out, and the length."""
+    n = np.diff(w.at)
+    total = np.concatenate([[0.0], np.cumsum(ratio)])
+    rows = w.rows()
+    end = np.minimum(np.arange(len(ratio)) + PASSAGE, np.repeat(w.at[1:], n))
+    passage = (total[end] - total[np.arange(len(ratio))]) / PASSAGE
+    best = np.full(len(n), -20.0)
+    np.maximum.at(best, rows, passage)
+    mean = (total[w.at[1:]] - total[w.at[:-1]]) / np.maximum(n, 1)
+    strong = np.bincount(rows, weights=ratio > 3, minlength=len(n))
+    return np.column_stack([mean, np.where(n > 0, best, 0.0), np.log1p(strong), strong / np.maximum(n, 1), np.log1p(n)])
+
+
+def _wanted(table: pa.Table) -> pa.Table:
+    """Every word and pair of a block's texts, once."""
+    found = [np.zeros(1, np.uint64)]
+    for w in words(_column(table, "text"), NON_WORD):
+        found += [np.unique(w.hashes), np.unique(_pairs(w)[0])]
+    key = np.unique(np.concatenate(found)).view(np.int64)
+    return pa.table({"block": np.full(len(key), table.column("block")[0].as_py()), "key": key})
+
+
+def _column(table: pa.Table, name: str) -> pa.Array:
+    got = table.column(name).combine_chunks()
+    return got if isinstance(got, pa.Array) else got.chunk(0)
+
+
+def _scorer(rest: tuple[float, float]):
+    """Features of a block's texts from the counts of its words and pairs; ``rest``: what a class keeps for unseen words."""
+
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        if not texts.num_rows:
+            return pa.table({"doc_id": pa.array([], pa.int64()), "x": pa.array([], pa.list_(pa.float64()))})
+        key = found.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(key)
+        of_word = found.column("is_word").to_numpy()[order]
+        x = {c: found.column(c).to_numpy()[order].astype(float) for c in ("v_1", "v_0", "left_1", "left_0", "size_1", "size_0")}
+        word, pair = key[order][of_word], key[order][~of_word]
+        out = []
+        for w in words(_column(texts, "text"), NON_WORD):
+            two, before = _pairs(w)
+            own, context, both = _find(word, w.hashes), _find(word, before), _find(pair, two)
+            ratio = np.zeros(len(two))
+            for k, sign in ((1, 1), (0, -1)):
+                # a word of no labelled text has the share ``q`` of both classes, which cancels
+                p = np.append(x[f"v_{k}"][of_word], rest[k])[own]
+                left, size = np.append(x[f"left_{k}"][of_word], 1.0)[context], np.append(x[f"size_{k}"][of_word], 1.0)[context]
+                n = np.append(x[f"v_{k}"][~of_word], 0.0)[both]
+                ratio += sign * np.log(np.maximum(n - DISCOUNT, 0) / size + left * p)
+            out += list(_features(ratio, w))
+        return pa.table({"doc_id": texts.column("doc_id"), "x": pa.array(out, pa.list_(pa.float64()))})
 
     return run
 
 
-class Ratios:
-    """Log-likelihood ratio, toxic over ordinary, of words given the word before."""
-
-    def __init__(self, word: np.ndarray, unigram: np.ndarray, pair: np.ndarray, direct: np.ndarray, context: np.ndarray, backoff: np.ndarray) -> None:
-        self.word, self.unigram = word, np.append(unigram, 0.0)
-        self.pair, self.direct = pair, np.append(direct, 0.0)
-        self.context, self.backoff = context, np.append(backoff, 0.0)
-
-    def of(self, w: Words) -> np.ndarray:
-        key, before = _pairs(w)
-        out = self.unigram[_find(self.word, w.hashes)] + self.backoff[_find(self.context, before)]
-        spot = _find(self.pair, key)
-        return np.where(spot < len(self.pair), self.direct[spot], out)
-
-    def features(self, w: Words) -> np.ndarray:
-        """Per text: mean ratio, the best passage's, how many passages stand out, and the length."""
-        ratio, n = self.of(w), np.diff(w.at)
-        total = np.concatenate([[0.0], np.cumsum(ratio)])
-        rows = w.rows()
-        end = np.minimum(np.arange(len(ratio)) + PASSAGE, np.repeat(w.at[1:], n))
-        passage = (total[end] - total[np.arange(len(ratio))]) / PASSAGE
-        best = np.full(len(n), -20.0)
-        np.maximum.at(best, rows, passage)
-        mean = (total[w.at[1:]] - total[w.at[:-1]]) / np.maximum(n, 1)
-        strong = np.bincount(rows, weights=ratio > 3, minlength=len(n))
-        return np.column_stack([mean, np.where(n > 0, best, 0.0), np.log1p(strong), strong / np.maximum(n, 1), np.log1p(n)])
-
-
-def _log_ratio(toxic: np.ndarray, other: np.ndarray) -> np.ndarray:
-    return np.log(toxic) - np.log(other)
-
-
-def fit_ratios(docs: DataFrame, train: DataFrame) -> Ratios:
-    """Both models from ``train(text, label)``; shared counts from all of ``docs``.
+def fit_counts(docs: DataFrame, train: DataFrame) -> tuple[DataFrame, tuple[float, float]]:
+    """Both models from ``train(text, label)``, with shared counts from all of ``docs``, as a table; and what each class keeps for unseen words.
 
     Counts are of texts, so a repeated line or phrase counts once per text.
     ``p(w|u) = max(c(u,w) - D, 0) / c(u) + rest(u) p(w)`` and
     ``p(w) = max(c(w) - D, 0) / c + rest q(w)``, with ``q`` from all texts and
-    the same in both classes: what a class has not seen says nothing. A word
-    is kept that enough labelled texts hold, a pair that enough toxic ones do.
+    the same in both classes: what a class has not seen says nothing. Every
+    word and pair of a labelled text is a row: a word (and 0, a text's start)
+    has ``p`` as ``v``, ``rest`` as ``left`` and ``c`` as ``size``, a pair has
+    its counts as ``v``; ``_1`` is the toxic class.
+    """
+    counts = lambda pairs: train.select("text", "label").mapInArrow(_text_counts(pairs), "key long, before long, toxic long, other long").groupBy("key").agg(F.min("before").alias("before"), F.sum("toxic").alias("n_1"), F.sum("other").alias("n_0"))
+    word, pair = save(counts(False).drop("before"), "toxic_words"), save(counts(True), "toxic_pairs")
+    every = save(docs.select("text").mapInArrow(_all_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "all_words")
+    total = every.agg(F.sum("n")).first()[0] or 1
+    sums = word.agg(*(f(k).alias(f"{name}_{k}") for k in (0, 1) for name, f in (("all", lambda k: F.sum(f"n_{k}")), ("kinds", lambda k: F.count_if(F.col(f"n_{k}") > 0))))).first()
+    size = [max(sums[f"all_{k}"] or 0, 1) for k in (0, 1)]
+    rest = tuple(max(DISCOUNT * sums[f"kinds_{k}"] / size[k], LEAST_REST) for k in (0, 1))
+
+    over = lambda k: F.greatest(F.col(f"n_{k}") - DISCOUNT, F.lit(0.0))
+    context = pair.groupBy(F.col("before").alias("key")).agg(*(f for k in (0, 1) for f in (F.sum(f"n_{k}").alias(f"sum_{k}"), F.sum(over(k)).alias(f"over_{k}"))))
+    both = word.join(every, "key", "left").join(context, "key", "full").na.fill(0)
+    for k in (0, 1):
+        both = both.withColumn(f"size_{k}", F.greatest(f"n_{k}", f"sum_{k}") + 1)
+        both = both.withColumn(f"left_{k}", F.greatest(1 - F.col(f"over_{k}") / F.col(f"size_{k}"), F.lit(LEAST_REST)))
+        both = both.withColumn(f"v_{k}", over(k) / size[k] + rest[k] * F.col("n") / total)
+    values = ("v_1", "v_0", "left_1", "left_0", "size_1", "size_0")
+    of_words = both.select("key", F.lit(True).alias("is_word"), *(F.col(c).cast("double").alias(c) for c in values))
+    of_pairs = pair.select("key", F.lit(False).alias("is_word"), *(F.col("n" + c[1:]).cast("double").alias(c) if c[0] == "v" else F.lit(None).cast("double").alias(c) for c in values))
+    return of_words.union(of_pairs), rest
+
+
+def text_features(docs: DataFrame, model: DataFrame, rest: tuple[float, float]) -> DataFrame:
+    """``(doc_id, x)`` of every row.
+
+    Texts are dealt to blocks by id; a block asks for its words and pairs once
+    and gets those that the model has. The model is never in one place.
     """
     spark = docs.sparkSession
-    total = train.count()
-    least = max(LEAST_TEXTS, LEAST_SHARE * total)
-    got = bounded(train.select("text", "label").mapInArrow(_text_counts(False), "key long, before long, toxic long, other long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).where(F.col("toxic") + F.col("other") >= least), MOST_KEPT)
-    key = got["key"].astype(np.int64).view(np.uint64)
-    order = np.argsort(key)
-    word, count = key[order], np.stack([got["toxic"], got["other"]]).astype(float)[:, order]
-    shared = bounded(docs.select("text").mapInArrow(_known_counts(spark.sparkContext.broadcast(word), False, False), "key long, toxic long, other long").groupBy("key").agg(F.sum("toxic").alias("n")), MOST_KEPT)
-    q = np.full(len(word) + 1, 0.5)
-    q[_find(word, shared["key"].astype(np.int64).view(np.uint64))] += shared["n"].astype(float)
-    q = (q / q.sum())[:-1]
-    p = []
-    for c in count:
-        all_ = max(c.sum(), 1.0)
-        p.append(np.maximum(c - DISCOUNT, 0) / all_ + max(DISCOUNT * (c > 0).sum() / all_, 1e-3) * q)
-
-    pairs = train.where("label = 1").select("text", "label").mapInArrow(_text_counts(True), "key long, before long, toxic long, other long").groupBy("key").agg(F.min("before").alias("before"), F.sum("toxic").alias("toxic"))
-    got = bounded(pairs.where(F.col("toxic") >= least), MOST_KEPT)
-    pair = got["key"].astype(np.int64).view(np.uint64)
-    order = np.argsort(pair)
-    pair, before = pair[order], got["before"].astype(np.int64).view(np.uint64)[order]
-    seen = bounded(train.select("text", "label").mapInArrow(_known_counts(spark.sparkContext.broadcast(pair), True, True), "key long, toxic long, other long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")), MOST_KEPT)
-    joint = np.zeros((2, len(pair) + 1))
-    spot = _find(pair, seen["key"].astype(np.int64).view(np.uint64))
-    joint[0, spot], joint[1, spot] = seen["toxic"], seen["other"]
-    joint = joint[:, :-1]
-    # the second word of a kept pair, by undoing the pair's hash input
-    second = _second(pair, before)
-    context, which = np.unique(before, return_inverse=True)
-    at, own = _find(word, context), _find(word, second)
-    rest, direct = [], []
-    for c, j, pw in zip(count, joint, p):
-        size = np.append(c, 0.0)[at]
-        size = np.maximum(size, np.bincount(which, weights=j, minlength=len(context))) + 1.0
-        main = np.maximum(j - DISCOUNT, 0) / size[which]
-        left = np.maximum(1 - np.bincount(which, weights=main, minlength=len(context)), 1e-3)
-        rest.append(left)
-        direct.append(main + left[which] * np.append(pw, 1e-9)[own])
-    return Ratios(word, _log_ratio(*p), pair, _log_ratio(*direct), context, _log_ratio(*rest))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(size // BLOCK_BYTES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    placed = docs.withColumn("block", F.pmod(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("text")), F.lit(blocks)))
+    wanted = placed.groupBy("block").applyInArrow(_wanted, "block long, key long")
+    found = wanted.join(model.hint("merge"), "key")
+    return placed.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_scorer(rest), "doc_id long, x array<double>")
 
 
 def _second(pair: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -188,7 +199,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     fold, four fifths of them; the last fifth (at most `CALIBRATION_TEXTS`)
     fits a logistic scale over the length-normalised log-likelihood ratio of
     the text, of its best passage, and the length. ``log_ratio`` is the
-    text's ratio per word. Only words enter a score.
+    text's ratio per word. Only words enter a score. All counts are kept, in
+    tables that grow with the texts.
 
     Null and empty texts get the score of a text without evidence; a null id
     counts as not held out; repeated rows score alike (and count again when
@@ -198,19 +210,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     docs = docs_of(docs, id_col, text_col)
     spark = docs.sparkSession
     rows = save(labelled(docs, labels, "toxic"), "toxic_train").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)))
-    ratios = spark.sparkContext.broadcast(fit_ratios(docs, rows.where("part > 0").select("text", "label")))
-
-    def features(batches):
-        for batch in batches:
-            for w in words(batch.column(0), NON_WORD):
-                x = ratios.value.features(w)
-                yield pa.RecordBatch.from_arrays([pa.array(list(x)), batch.column(1).slice(w.lo, w.hi - w.lo)], ["x", "label"])
+    rated = save(text_features(docs, *fit_counts(docs, rows.where("part > 0"))), "toxic_features")
 
-    part = rows.where("part = 0")
+    part = rows.where("part = 0").select("doc_id", "label").distinct()
     keep = CALIBRATION_TEXTS / max(part.count(), 1)
     if keep < 1:
         part = part.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(keep * 1_000_003 * 0.95))
-    sample = part.select("text", "label").mapInArrow(features, "x array<double>, label int").toArrow()
+    sample = rated.join(part.hint("merge"), "doc_id").select("x", "label").toArrow()
     model = None
     if sample.num_rows:
         x, y = np.array(sample.column("x").to_pylist()), sample.column("label").to_numpy().astype(float)
@@ -219,10 +225,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     def score(batches):
         for batch in batches:
-            for w in words(batch.column(1), NON_WORD):
-                x = ratios.value.features(w)
-                s = logistic_score(fitted.value, x) if fitted.value is not None else np.full(len(x), 0.5)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.lo, w.hi - w.lo), pa.array(s), pa.array(x[:, 0])], ["doc_id", "score", "log_ratio"])
+            x = np.array(batch.column(1).to_pylist()).reshape(batch.num_rows, -1)
+            s = logistic_score(fitted.value, x) if fitted.value is not None and len(x) else np.full(len(x), 0.5)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array(x[:, 0] if len(x) else s)], ["doc_id", "score", "log_ratio"])
 
-    out = docs.mapInArrow(score, "doc_id long, score double, log_ratio double")
+    out = rated.mapInArrow(score, "doc_id long, score double, log_ratio double")
     return out.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), "log_ratio")

@@ -144,6 +144,45 @@ def test_held_out_accuracy(spark, kind, scores, least):
     assert scores(docs.where("false"), labels).count() == 0
 
 
+def test_rare_words_keep_their_counts(spark):
+    docs = [(i, f"plain words of text number {i}" + (" zzrare zzword" if i in (1, 4) else "")) for i in range(40)]
+    train = spark.createDataFrame([(t, int("zz" in t)) for _, t in docs[:20]], "text string, label int")
+    ask = spark.createDataFrame([(1, "zzrare"), (2, "zzrare zzword"), (3, "plain words"), (4, "unseenword")], "doc_id long, text string")
+    everything = spark.createDataFrame(docs, "doc_id long, text string")
+    model, rest = toxicity.fit_counts(everything, train)
+    got = {r["doc_id"]: r["x"][0] for r in toxicity.text_features(ask, model, rest).collect()}
+    toxic, other = [t.split() for t, label in train.collect() if label], [t.split() for t, label in train.collect() if not label]
+    every = sum(len(set(t.split())) for _, t in docs)
+
+    def p(word, before, side):
+        c = sum(len(set(t)) for t in side)
+        keep = 0.75 * len({w for t in side for w in t}) / c
+        n = sum(word in t for t in side)
+        own = max(n - 0.75, 0) / c + keep * (sum(word in t.split() for _, t in docs) or 1) / every
+        pairs = [set(zip([None] + t, t)) for t in side]
+        after = {}
+        for x in pairs:
+            for a, b in x:
+                if a == before:
+                    after[b] = after.get(b, 0) + 1
+        size = max(sum(before in t for t in side), sum(after.values())) + 1
+        left = max(1 - sum(n - 0.75 for n in after.values()) / size, 1e-3)
+        return max(after.get(word, 0) - 0.75, 0) / size + left * own
+
+    ratio = lambda *ws: np.mean([np.log(p(w, b, toxic) / p(w, b, other)) for b, w in zip((None, *ws), ws)])
+    for i, t in ((1, "zzrare"), (2, "zzrare zzword"), (3, "plain words"), (4, "unseenword")):
+        assert got[i] == pytest.approx(ratio(*t.split()))
+    assert got[2] > 2 > got[3]
+
+
+def test_counts_grow_with_the_texts(spark):
+    # 200,000 labelled texts: a share of them would ask for four texts a word
+    train = spark.range(200_000).selectExpr("case when id < 3 then 'zzrare zzword' else 'plain' end as text", "int(id < 100) as label")
+    model, _ = toxicity.fit_counts(train, train)
+    assert model.where("is_word").count() == 4 and model.where("not is_word").count() == 3
+    assert model.where("not is_word and v_1 = 3 and v_0 = 0").count() == 2
+
+
 def test_second_word_of_a_pair():
     from sulatan.llm.words import mix
 
