@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections import deque
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,37 +13,86 @@ from pyspark.sql import DataFrame
 # fixed values: element names, and words of class and id attributes
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object embed canvas select head".split())
+RAW = frozenset("script style noscript template textarea title iframe svg math object canvas select".split())
+#: of these, a missing end tag hides the rest of a page, as in a browser
+TO_END = frozenset(("script", "style"))
+#: these end at a block that cannot stand in them
+ENDED = frozenset(("svg", "math", "select"))
 AWAY = frozenset("nav footer aside form menu dialog button label option".split())
 BAD = re.compile(r"(?:^|[^a-z])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|side-bar|rail|widget|nav|navbar|navigation|menu|breadcrumb\w*|pager|pagination|footer|header|masthead|topbar|toolbar|cookie\w*|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommend\w*|more-?links|comment\w*|disqus|replies|respond|reader\w*|meta|byline|tags|legal|copyright|disclaimer)(?![a-z])", re.I)
 GOOD = re.compile(r"(?:^|[^a-z])(?:article\w*|content|main|post|entry|story|body|text)(?![a-z])", re.I)
-HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+#: names that tell of another part, or of the title of the content
+OTHERS = re.compile(r"(?:has|with|no|without|hide)[-_]|(?:entry|post|article|story|content)[-_]+header$", re.I)
+NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 LOOSE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+BREAKS = "|".join(sorted(BLOCKS - {"hr"}))
 SPACE = re.compile(r"\s+")
+#: a badly named part with this share of the page's own words is the page
+WHOLE = 0.9
 #: smoothness of neighbours in page order, and of siblings in one container
 NEXT, SIBLING = 0.4, 0.6
 
 
+class Part:
+    """An open container: why it may be boilerplate, and what it holds."""
+
+    __slots__ = ("up", "never", "bad", "header", "article", "good", "own", "paragraphs", "holds", "standing")
+
+    def __init__(self, up: "Part | None", name: str = "", attributes: str = "") -> None:
+        found = {k.lower(): a or b or c for k, a, b, c in reversed(ATTRIBUTE.findall(attributes))}
+        hints = " ".join(t for k in ("class", "id", "role") for t in found.get(k, "").split() if not OTHERS.match(t))
+        page = name in ("html", "body")
+        hidden = "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true" or bool(NO_DISPLAY.search(found.get("style", "")))
+        named = bool(BAD.search(hints))
+        self.up, self.header = up, name == "header"
+        #: hidden, or an element that is never content
+        self.never = (hidden and not page) or name in AWAY - {"form"}
+        self.bad = name == "form" or (named and not page and name not in ("article", "main"))
+        self.article = name in ("article", "main")
+        self.good = name in ("div", "section") and bool(GOOD.search(" ".join(found.get(k, "") for k in ("class", "id", "role"))))
+        self.own, self.paragraphs, self.standing = 0, 0, (False, False)
+        #: 2 if a main element is inside, 1 if an article that is not named badly is
+        self.holds = 2 if name == "main" else int(name == "article" and not named)
+
+    def settle(self, words: int) -> None:
+        """``standing``: boilerplate by its containers, and inside the article.
+
+        A bad name does not count on what holds the main element, an article
+        and most words of the page, or nearly all its words.
+        """
+        away, inside = self.up.standing if self.up else (False, False)
+        whole = self.holds == 2 or (self.holds and 2 * self.own > words) or (self.paragraphs > 1 and self.own >= WHOLE * words)
+        away |= self.never or ((self.bad or (self.header and not inside)) and not whole)
+        self.standing = away, inside or self.article or (not away and self.good)
+
+
 class Block:
     """A run of text between block tags, with what the classifier looks at."""
 
-    __slots__ = ("parts", "tag", "box", "standing", "linked", "text")
+    __slots__ = ("parts", "tag", "box", "part", "linked", "text")
 
-    def __init__(self, tag: str, box: int, standing: tuple[bool, bool]) -> None:
+    def __init__(self, tag: str, box: int, part: Part) -> None:
         self.parts: list[str] = []
-        self.tag, self.box, self.standing, self.linked, self.text = tag, box, standing, 0, ""
+        self.tag, self.box, self.part, self.linked, self.text = tag, box, part, 0, ""
+
+
+@lru_cache(maxsize=64)
+def _end(name: str, at_block: bool) -> re.Pattern:
+    return re.compile(rf"</{name}[\s/>]" + (rf"|<(?:{BREAKS})[\s/>]" if at_block else ""), re.I)
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order; markup, scripts, styles and hidden parts give none.
 
     Containers nest by their tags; an end tag closes the nearest open
-    container of its name, missing end tags are tolerated.
+    container of its name, missing end tags are tolerated: a page goes on
+    after a start tag whose end tag is missing (but for scripts and styles).
     """
     out: list[Block] = []
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # name, box, away, inside the article
+    parts = [Part(None)]
+    stack: list[tuple[str, int, Part]] = [("", 0, parts[0])]  # name, box, container
     boxes, links, at, pattern, now = 1, 0, 0, TAG, None
 
     def add(raw: str) -> None:
@@ -50,10 +100,9 @@ def blocks(page: str) -> list[Block]:
         if not raw:
             return
         if now is None:
-            name, box, away, inside = stack[-1]
             if raw.isspace():
                 return
-            now = Block(name, box, (away, inside))
+            now = Block(*stack[-1])
             out.append(now)
         now.parts.append(raw)
         if links:
@@ -91,9 +140,12 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in RAW:
             if not m[3].endswith("/"):
-                end = re.compile(rf"</{name}[\s/>]", re.I).search(page, at)
-                close = page.find(">", end.start()) if end else -1
-                at = close + 1 if close >= 0 else len(page)
+                end = _end(name, name in ENDED).search(page, at)
+                if end and page[end.start() + 1] != "/":
+                    at = end.start()
+                elif end or name in TO_END:
+                    close = page.find(">", end.start()) if end else -1
+                    at = close + 1 if close >= 0 else len(page)
             continue
         if name == "br":
             add(" ")
@@ -107,23 +159,27 @@ def blocks(page: str) -> list[Block]:
                 stack.pop()
             if name == "hr" or m[3].endswith("/"):
                 continue
-            hints = " ".join(a or b or c for a, b, c in NAMES.findall(m[3]))
-            _, _, away, inside = stack[-1]
-            away |= name in AWAY or (name == "header" and not inside) or bool(HIDDEN.search(m[3]))
-            if name not in ("html", "body", "article", "main"):
-                away |= bool(BAD.search(hints))
-            inside |= name in ("article", "main") or (not away and name in ("div", "section") and bool(GOOD.search(hints)))
+            parts.append(Part(stack[-1][2], name, m[3]))
             box = stack[-1][1] if name in HEADINGS | {"p", "li", "dt", "dd", "td", "th", "tr", "tbody", "pre"} else boxes
             boxes += 1
-            stack.append((name, box, away, inside))
+            stack.append((name, box, parts[-1]))
     for b in out:
         b.text = SPACE.sub(" ", html.unescape("".join(b.parts))).strip()
+        b.part.own += max(0, sum(map(len, b.parts)) - b.linked)
+        b.part.paragraphs += b.tag == "p"
+    for part in reversed(parts):
+        if part.up and not part.never:
+            part.up.own += part.own
+            part.up.paragraphs += part.paragraphs
+            part.up.holds = max(part.up.holds, part.holds)
+    for part in parts:
+        part.settle(parts[0].own)
     return [b for b in out if b.text]
 
 
 def leaning(b: Block) -> float:
     """Log-odds of content over boilerplate from a block alone."""
-    away, inside = b.standing
+    away, inside = b.part.standing
     words = b.text.count(" ") + 1
     linked = min(1.0, b.linked / max(1, sum(map(len, b.parts))))
     score = -1.2 + min(words, 40) / 12 - 3.5 * linked

@@ -28,6 +28,28 @@ def test_main_text():
     assert html_cut.main_text(None) == ""
 
 
+def test_main_text_of_wrapped_pages():
+    text = "This is a whole sentence of a page, long enough to be taken as its content by anyone."
+    body = f"<h2>A title</h2><p>{text}</p><p>{text}</p>"
+    want = f"A title\n{text}\n{text}"
+    for wrapper in ('div class="has-sidebar"', 'div class="with-sidebar"', 'div class="overflow-hidden"', 'div aria-hidden="false"', 'div data-hidden="no"', 'div class="header-page-wrap"', "form"):
+        end = wrapper.split()[0]
+        for inner, close in (("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ('<article class="x overflow-hidden">', "</article>")):
+            assert html_cut.main_text(f"<html><head><title>T</title></head><body><{wrapper}>{inner}{body}{close}</{end}></body></html>") == want, (wrapper, inner)
+    for tag in ('body class="overflow-hidden has-sidebar"', 'body aria-hidden="false"', 'body style="display:none"'):
+        assert html_cut.main_text(f"<{tag}><article>{body}</article>") == want
+    assert html_cut.main_text(f'<article><div class="entry-header"><h2>A title</h2></div><p>{text}</p><p>{text}</p></article>') == want
+    for hidden in ("hidden", 'hidden=""', 'aria-hidden="true"', "style='color:red; display: none'"):
+        assert html_cut.main_text(f"<article>{body}<div {hidden}><p>{text}</p></div></article>") == want
+    other = f'<section class="comments"><article class="comment"><p>{text}</p><p>{text}</p><p>{text}</p><p>{text}</p></article></section>'
+    assert html_cut.main_text(f"<div class='sidebar-left'><main>{body}</main>{other}</div>") == want
+    assert html_cut.main_text(f"<div class='content'>{body}{body}</div><aside><article><p>{text}</p></article></aside>") == f"{want}\n{want}"
+    for start in ("<head><title>T</title>", "<head>", "<svg><path d='1'>", "<select><option>x", "<embed src='x'>", "<noscript>", "<object>"):
+        got = html_cut.main_text(f"<html>{start}<article>{body}</article>")
+        assert got.endswith(want), start
+    assert html_cut.main_text(f"<svg><text>no</text></svg><article>{body}</article>") == want
+
+
 def test_minimum_cut():
     rng = random.Random(4)
 
