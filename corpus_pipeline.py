@@ -22,25 +22,35 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality_rules.good_rows(docs)
 
 
+def _with_row(docs: DataFrame) -> DataFrame:
+    """``docs`` and ``_row``, a 64-bit hash of id and text: rows that repeat both share it, others do not."""
+    return docs.withColumn("_row", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull()))
+
+
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near copies.
+    """The document with the least id of each group of near copies (a null id only if all are null).
 
-    Rows that repeat id and text become one; rows that only share an id are
-    judged by their own groups.
+    Rows that repeat id and text become one; rows that only share an id, or
+    have none, are judged by their own groups.
     """
-    groups = save(jaccard.jaccard_components(docs), "groups")
-    out = docs.join(groups.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-    again = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    rows = _with_row(docs)
+    groups = save(jaccard.jaccard_components(rows, "_row").select(F.col("doc_id").alias("_row"), "component_id"), "groups")
+    more = groups.where("_row <> component_id").distinct()
+    members = more.union(more.select(F.col("component_id").alias("_row"), "component_id").distinct()).join(rows.select("_row", "doc_id").distinct(), "_row")
+    kept = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")).alias("m")).select("m._row")
+    out = rows.join(save(members.select("_row").join(kept, "_row", "left_anti"), "copies"), "_row", "left_anti")
+    again = groups.groupBy("_row").count().where("count > 1").select("_row")
     if again.isEmpty():
-        return out
-    once = out.join(again, "doc_id", "left_semi").withColumn("_same", F.xxhash64("text")).dropDuplicates(["doc_id", "_same"]).select(docs.columns)
-    return out.join(again, "doc_id", "left_anti").select(docs.columns).union(once)
+        return out.select(docs.columns)
+    once = out.join(again, "_row", "left_semi").dropDuplicates(["_row"])
+    return out.join(again, "_row", "left_anti").select(docs.columns).union(once.select(docs.columns))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a test item; a document with a null id cannot be named and stays."""
-    found = decontamination.leaks(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """Rows without a test item, whatever other rows share their id."""
+    rows = _with_row(docs)
+    found = decontamination.leaks(rows, read(spark, sf_dir, "benchmark"), id_col="_row").select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(found, "_row", "left_anti").select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

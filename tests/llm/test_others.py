@@ -228,3 +228,27 @@ def test_pipeline(spark):
         assert 0 < docs.count() <= seen
         seen = docs.count()
     assert docs.select("doc_id").distinct().count() == seen
+
+
+def test_pipeline_judges_rows(spark, tmp_path):
+    rng = random.Random(12)
+    vocab = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(800)]
+    a, b, c, d, item = (" ".join(rng.choices(vocab, k=n)) for n in (90, 90, 90, 90, 40))
+    rows = [
+        (1, a), (5, a + " more"), (5, b), (5, b),  # id 5: a copy, and a clean text twice
+        (7, a + " other"), (7, c + " one"), (7, c + " two"),  # near copies under one id
+        (None, d), (None, d), (None, d + " end"), (None, b + " tail"), (9, "a few words only"), (None, None),
+    ]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string").repartition(3)
+    got = corpus_pipeline.keep_one_of_group(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str)
+    one_c, one_d = ([r for r in kept if r[1] and r[1].startswith(t)] for t in (c, d))
+    assert len(one_c) == len(one_d) == 1 and one_c[0][0] == 7 and one_d[0][0] is None
+    assert kept == sorted([(1, a), (5, b), (9, "a few words only"), (None, None), *one_c, *one_d], key=str)
+
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    leak = f"{a} {item} {b}"
+    docs = spark.createDataFrame([(1, leak), (1, c), (2, b), (None, leak), (None, d), (None, None)], "doc_id long, text string")
+    got = corpus_pipeline.drop_leaks(spark, docs, str(tmp_path))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted([(1, c), (2, b), (None, d), (None, None)], key=str)
