@@ -167,7 +167,7 @@ def _scan(ratio: np.ndarray, least: float):
                         taken = [(s, e) for _, s, e in spans]
                         if r in judged:
                             for m in STRING.finditer(text):
-                                if len(m[0]) >= JUDGED and not any(s < m.end() and m.start() < e for s, e in taken) and random_score(m[0], ratio) >= least:
+                                if len(m[0]) >= JUDGED and not any(s <= m.start() and m.end() <= e for s, e in taken) and random_score(m[0], ratio) >= least:
                                     spans.append(("random", m.start(), m.end()))
                             spans.sort(key=lambda x: (x[1], order[x[0]]))
                     kinds = [k for k, _, _ in spans]
@@ -189,7 +189,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     (leftmost, non-overlapping per kind, too short ones dropped). Two
     first-order character models, one of base matches and one of all other
     strings of the texts, then judge each string of 20 or more characters that
-    overlaps no base span: kind ``random`` if its mean log-likelihood ratio
+    no base span covers whole: kind ``random`` if its mean log-likelihood ratio
     per character is at least ``least``. Spans are code points, end exclusive,
     ordered by start, then kind.
 

@@ -4,7 +4,9 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from sulatan.llm import jaccard, quality_rules, secrets, sentencepiece_scan, token_counts
@@ -197,3 +199,12 @@ def test_max_plus_product_is_associative():
     a, b, c = ([[rng.randint(-9, 9) for _ in range(4)] for _ in range(4)] for _ in range(3))
     f = sentencepiece_scan.compose
     assert f(f(a, b), c) == f(a, f(b, c))
+
+
+def test_partly_covered_secret():
+    ratio = np.ones((secrets.SYMBOLS, secrets.SYMBOLS))
+    token, plain = "Z9q" * 6 + "0123456789abcdef01234567" + "Xw7" * 6, "0123456789abcdef01234567"
+    texts = pa.array([f"x {token} y", f"x {plain} y"])
+    part = next(iter(secrets._scan(ratio, 0.7)([pa.RecordBatch.from_arrays([pa.array([0, 1]), texts], ["i", "t"])])))
+    assert part.column("spans").to_pylist() == ["random:2:62,hex:20:44", "hex:2:26"]
+    assert secrets._cut(texts[0].as_py(), part.column("found").to_pylist()[0], "[secret]") == "x [secret] y"
