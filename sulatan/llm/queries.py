@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sulatan.llm import decontamination, html_cut, jaccard, quality_model, quality_rules, secrets, sentencepiece_scan, token_counts, toxicity, url_filters
+from sulatan.llm import decontamination, exact_dedup, html_cut, importance, jaccard, quality_model, quality_rules, secrets, sentencepiece_scan, token_counts, toxicity, url_filters
 from sulatan.llm.store import read
 
 PIECES, BYTE_BPE = "piece_bpe_32k.model", "byte_bpe_50k.json"
@@ -76,10 +76,19 @@ def op10_token_counts(spark, sf_dir):
     return token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_decontamination, op3_toxicity, op4_html_extraction, op5_quality_rules, op6_quality_classifier, op7_secret_scans, op8_sentencepiece, op9_ngram_jaccard, op10_token_counts)}
+def op11_exact_dedup(spark, sf_dir):
+    return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark, sf_dir):
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_decontamination, op3_toxicity, op4_html_extraction, op5_quality_rules, op6_quality_classifier, op7_secret_scans, op8_sentencepiece, op9_ngram_jaccard, op10_token_counts, op11_exact_dedup, op12_importance_resampling)}
 
 _RE = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^?#]*)"
 _NUM = "(('0x' || substr(md5('{0}' || {1}), 1, 6))::BIGINT % {2})"
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES = {
     "op1_url_filters": f"""
 WITH parsed AS (
@@ -131,4 +140,26 @@ links AS (
 reach AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
 FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT u AS doc_id, min(v) AS component_id FROM reach GROUP BY 1) c USING (doc_id)""",
+    "op11_exact_dedup": f"""
+WITH t AS (SELECT doc_id, {_LOWER.format("coalesce(text, '')")} AS norm FROM documents),
+g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY 1)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM t JOIN g USING (norm)""",
+    "op12_importance_resampling": f"""
+WITH crc AS (SELECT list(c ORDER BY i) AS tab FROM (
+  SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+texts AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', row_number() OVER (), text FROM benchmark),
+w AS (SELECT side, id, list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM texts),
+f AS (SELECT side, id, unnest(ws || list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS feature FROM w),
+b AS (SELECT feature, xor(list_reduce([4294967295::BIGINT] || list_transform(range(0, strlen(feature)), lambda i: ('0x' || hex(encode(feature))[2 * i + 1:2 * i + 2])::BIGINT),
+        lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) % 10000 AS bucket
+  FROM (SELECT DISTINCT feature FROM f), crc),
+n AS (SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM f JOIN b USING (feature) GROUP BY 1),
+gain AS (SELECT bucket, floor(1000 * ln((t + 1.0::DOUBLE) * (sum(s) OVER () + 10000.0::DOUBLE) / ((s + 1.0::DOUBLE) * (sum(t) OVER () + 10000.0::DOUBLE))))::BIGINT AS g FROM n),
+mean AS (SELECT id, count(*) AS n_features, floor(sum(g)::DOUBLE / count(*))::BIGINT AS weight FROM f JOIN b USING (feature) JOIN gain USING (bucket) WHERE side = 'd' GROUP BY 1),
+scored AS (
+  SELECT id AS doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+  FROM w LEFT JOIN mean USING (id) WHERE side = 'd'),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, 25 * count(*) OVER () // 100 AS drawn FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM scored LEFT JOIN placed USING (doc_id)""",
 }
