@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sulatan.llm import decontamination, exact_dedup, html_cut, importance, jaccard, quality_model, quality_rules, secrets, sentencepiece_scan, token_counts, toxicity, url_filters
+from sulatan.llm import collocations, decontamination, exact_dedup, html_cut, importance, jaccard, quality_model, quality_rules, secrets, sentencepiece_scan, token_counts, toxicity, url_filters
 from sulatan.llm.store import read
 
 PIECES, BYTE_BPE = "piece_bpe_32k.model", "byte_bpe_50k.json"
@@ -84,7 +84,11 @@ def op12_importance_resampling(spark, sf_dir):
     return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_decontamination, op3_toxicity, op4_html_extraction, op5_quality_rules, op6_quality_classifier, op7_secret_scans, op8_sentencepiece, op9_ngram_jaccard, op10_token_counts, op11_exact_dedup, op12_importance_resampling)}
+def op13_collocations(spark, sf_dir):
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_decontamination, op3_toxicity, op4_html_extraction, op5_quality_rules, op6_quality_classifier, op7_secret_scans, op8_sentencepiece, op9_ngram_jaccard, op10_token_counts, op11_exact_dedup, op12_importance_resampling, op13_collocations)}
 
 _RE = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^?#]*)"
 _NUM = "(('0x' || substr(md5('{0}' || {1}), 1, 6))::BIGINT % {2})"
@@ -162,4 +166,19 @@ scored AS (
   FROM w LEFT JOIN mean USING (id) WHERE side = 'd'),
 placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, 25 * count(*) OVER () // 100 AS drawn FROM scored WHERE n_words >= 20)
 SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM scored LEFT JOIN placed USING (doc_id)""",
+    "op13_collocations": f"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+total AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY 1),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM (
+  SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 4) r(k)) GROUP BY ALL),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 10),
+cut AS (SELECT lang, k, phrase, a, j, array_to_string(ws[1:j], ' ') AS head, array_to_string(ws[j + 1:k], ' ') AS tail FROM c, range(1, 3) r(j) WHERE j < k),
+scored AS (SELECT c.lang, c.k, c.phrase, a, j, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cut c JOIN f x ON x.lang = c.lang AND x.phrase = head JOIN f y ON y.lang = c.lang AND y.phrase = tail),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (SELECT lang, array_to_string(ws[i:i + 1], ' ') AS phrase, max(a) AS most FROM c, range(1, 3) r(i) WHERE k = 3 GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN inside USING (lang, phrase) WHERE k = 3 OR most IS NULL OR 100 * most < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000""",
 }
