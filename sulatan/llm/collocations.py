@@ -118,7 +118,7 @@ def _stream(batch: pa.RecordBatch, values: np.ndarray, width: int):
                 wider = min(last, end + PIECE)
                 gaps = np.flatnonzero(~WORD[data[end:wider]])
                 rows = at[np.searchsorted(at, end, "right") : np.searchsorted(at, wider, "right")]
-                stops = [end + int(gaps[0]) + 1] * bool(len(gaps)) + [int(rows[0])] * bool(len(rows))
+                stops = [end + int(x) + 1 for x in gaps[:1]] + [int(x) for x in rows[:1]]
                 cut, end = (min(stops), wider) if stops else (begin, wider)
             end = cut if cut > begin else end
         part = data[begin:end]
