@@ -71,14 +71,13 @@ def feature_buckets(line: bytes, pattern, longest: int, buckets: int) -> np.ndar
     for part, limit in _stretches(line, longest):
         crcs: list[int] = []
         for match in pattern.finditer(part, overlapped=True):
-            spans = match.regs
-            if spans[0][0] >= limit:
+            if match.start() >= limit:
                 break
             crc = 0
-            for a, b in spans[1:]:
-                if a < 0:
+            for span in match.groups():
+                if span is None:
                     break
-                crc = crc32(part[a:b], crc)
+                crc = crc32(span, crc)
                 crcs.append(crc)
         found.append((np.array(crcs, np.int64) % buckets).astype(np.int32))
     return np.concatenate(found)
