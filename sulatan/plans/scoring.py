@@ -32,8 +32,8 @@ def _model(spark, sf):
 
 
 def _similarity(spark, sf):
-    k = K.kernel_similarity(V.v_query_vec(spark, sf), V.v_sv(spark, sf), GAMMA)
-    return k.select("vec_id", "sv_id", "class", F.round("k", 9).alias("k"))
+    k = K.class_similarity(V.v_query_vec(spark, sf), V.v_sv(spark, sf), GAMMA)
+    return k.select("vec_id", "class", "n", F.round("k_sum", 8).alias("k_sum"), F.round("k_max", 9).alias("k_max"))
 
 
 def _decisions(spark, sf, **sizes):
@@ -52,8 +52,8 @@ def _top5(spark, sf):
 
 
 def _top3(spark, sf):
-    k = K.kernel_similarity(V.v_query_vec(spark, sf), V.v_sv(spark, sf), GAMMA)
-    per = k.groupBy("vec_id", "class").agg(F.round(F.avg("k"), 9).alias("p"))
+    k = K.class_similarity(V.v_query_vec(spark, sf), V.v_sv(spark, sf), GAMMA)
+    per = k.select("vec_id", "class", F.round(F.col("k_sum") / F.col("n"), 9).alias("p"))
     return top_k(per, ["vec_id"], [F.col("p").desc(), F.col("class")], 3)
 
 
@@ -118,7 +118,7 @@ _MACRO = """round(sum(tp) / sum(support)::DOUBLE, 9) AS accuracy, round(avg(prec
     round(avg(f1), 9) AS f1, sum(support)::BIGINT AS total, count(*) AS num_classes FROM f"""
 
 ORACLES = {
-    "kernel_similarity": with_views("SELECT vec_id, sv_id, class, round(k, 9) AS k FROM v_kernel", "v_kernel"),
+    "kernel_similarity": with_views("SELECT vec_id, class, count(*) AS n, round(sum(k), 8) AS k_sum, round(max(k), 9) AS k_max FROM v_kernel GROUP BY ALL", "v_kernel"),
     "pair_decisions": with_views(f"""WITH {_PAIRS} SELECT vec_id, pair_id, i, j, round(decision, 8) + 0.0 AS decision,
         round(1 / (1 + exp(decision * -2.0 + 0.1)), 8) AS probability FROM dv""", "v_kernel", "v_sv"),
     "ovo_vote": with_views(f"""WITH {_PAIRS}, vt AS (SELECT vec_id, CASE WHEN decision > 0 THEN i ELSE j END AS class, count(*) AS votes FROM dv GROUP BY ALL),

@@ -74,13 +74,20 @@ def v_slot_words(spark, sf_dir) -> DataFrame:
     return v_vocab(spark, sf_dir).select("word", as_slots(F.col("word")).alias("slot_word"))
 
 
+def _letter_p(c):
+    return F.lit(0.5) + (F.ascii(c) % 50) / F.lit(100.0)
+
+
+def _next_letter(c):
+    return F.when(c == "z", F.lit("a")).otherwise(F.char(F.ascii(c) + 1))
+
+
 def letter_pair(c):
     """Best and second-best letter of one position with their probabilities."""
-    best = F.lit(0.5) + (F.ascii(c) % 50) / F.lit(100.0)
-    nxt = F.when(c == "z", F.lit("a")).otherwise(F.char(F.ascii(c) + 1))
+    best = _letter_p(c)
     return F.array(
         F.struct(c.alias("char"), best.alias("p")),
-        F.struct(nxt.alias("char"), ((F.lit(1.0) - best) * F.lit(0.9)).alias("p")),
+        F.struct(_next_letter(c).alias("char"), ((F.lit(1.0) - best) * F.lit(0.9)).alias("p")),
     )
 
 
@@ -90,19 +97,43 @@ def v_letter_cands(spark, sf_dir) -> DataFrame:
 
 
 def v_readings(spark, sf_dir) -> DataFrame:
-    """Three readings of every word of two letters or more, as letter arrays."""
-    words = v_vocab(spark, sf_dir).filter(F.length("word") >= 2)
+    """Readings of every word as letter arrays: three of longer words, two of single letters.
+
+    ``sure``: the word is one letter read with 0.9 or more.
+    """
+    words = v_vocab(spark, sf_dir)
+    long = F.length("word") >= 2
     swapped = F.concat(F.substring("word", 2, 1), F.substring("word", 1, 1), F.expr("substring(word, 3)"))
+    cut = F.concat(_next_letter(F.col("word")), F.lit("i"))
     shorter = F.expr("substring(word, 1, length(word) - 1)")
     readings = F.array(
         F.struct(F.lit(0).alias("reading"), F.col("word").alias("text"), F.lit(0.0).alias("penalty")),
-        F.struct(F.lit(1).alias("reading"), swapped.alias("text"), F.lit(0.15).alias("penalty")),
-        F.struct(F.lit(2).alias("reading"), shorter.alias("text"), F.lit(0.15).alias("penalty")),
+        F.struct(F.lit(1).alias("reading"), F.when(long, swapped).otherwise(cut).alias("text"), F.lit(0.15).alias("penalty")),
+        F.struct(F.lit(2).alias("reading"), F.when(long, shorter).alias("text"), F.lit(0.15).alias("penalty")),
     )
-    exploded = words.select("word", F.explode(readings).alias("r")).select("word", "r.*")
+    exploded = words.select("word", F.explode(readings).alias("r")).select("word", "r.*").filter("text is not null")
     letters = F.transform(F.regexp_extract_all("text", F.lit("."), F.lit(0)),
-                          lambda c: F.struct(c.alias("char"), (F.lit(0.5) + (F.ascii(c) % 50) / F.lit(100.0)).alias("p")))
-    return exploded.select("word", "reading", "penalty", letters.alias("letters"))
+                          lambda c: F.struct(c.alias("char"), _letter_p(c).alias("p")))
+    return exploded.select("word", "reading", "penalty", letters.alias("letters"), (~F.col("text").isNull() & (F.length("word") == 1) & (_letter_p(F.col("word")) >= 0.9)).alias("sure"))
+
+
+def v_word_edges(spark, sf_dir) -> DataFrame:
+    """Edges of every word's letters: each kept, some split in two, some joined with the next."""
+    chars = F.regexp_extract_all("word", F.lit("."), F.lit(0))
+    rows = v_vocab(spark, sf_dir).select("word", chars.alias("chars"), F.posexplode(chars).alias("at", "c"))
+    after = F.get("chars", F.col("at") + 1)
+    code, pair = F.ascii("c"), F.ascii("c") + F.ascii(after)
+
+    def edge(span: int, place: int, text, penalty: float):
+        return F.struct((F.col("at") + span).alias("to"), F.lit(place).alias("ord"), text.alias("t"), F.lit(penalty).alias("penalty"))
+
+    before = F.when(F.col("c") == "a", F.lit("z")).otherwise(F.char(code - 1))
+    found = F.array_compact(F.array(
+        edge(1, 0, F.col("c"), 0.0),
+        F.when(code % 7 == 0, edge(1, 1, F.concat(before, _next_letter(F.col("c"))), 0.15)),
+        F.when(pair % 7 == 0, edge(2, 2, F.char(pair % 26 + 97), 0.15))))
+    edges = rows.select("word", "at", F.explode(found).alias("e")).select("word", "at", "e.*")
+    return edges.select("word", "at", "to", "ord", "penalty", F.transform(F.regexp_extract_all("t", F.lit("."), F.lit(0)), letter_pair).alias("letters"))
 
 
 # --- boxes ---------------------------------------------------------------
@@ -299,6 +330,14 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                (1.0::DOUBLE - (0.5::DOUBLE + (ord(ch) % 50) / 100.0::DOUBLE)) * 0.9::DOUBLE AS p2
         FROM (SELECT word, i AS pos, substr(word, i, 1) AS ch
               FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v_vocab))"""),
+    "v_word_edges": (("v_vocab",), """
+        SELECT word, src, e.dst, e.ord, e.t, e.penalty FROM (
+          SELECT word, src, unnest(list_filter([
+            {'dst': src + 1, 'ord': 0, 't': c, 'penalty': 0.0::DOUBLE, 'ok': true},
+            {'dst': src + 1, 'ord': 1, 't': CASE WHEN c = 'a' THEN 'z' ELSE chr(ord(c) - 1) END || CASE WHEN c = 'z' THEN 'a' ELSE chr(ord(c) + 1) END, 'penalty': 0.15::DOUBLE, 'ok': ord(c) % 7 = 0},
+            {'dst': src + 2, 'ord': 2, 't': chr(97 + (ord(c) + ord(d)) % 26), 'penalty': 0.15::DOUBLE, 'ok': d <> '' AND (ord(c) + ord(d)) % 7 = 0}], lambda x: x.ok)) AS e
+          FROM (SELECT word, i - 1 AS src, substr(word, i, 1) AS c, substr(word, i + 1, 1) AS d
+                FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v_vocab)))"""),
     "v_char_boxes": (("v_lines",), """
         SELECT page_id, line_no, pos, ch AS char, 50.0::DOUBLE + ord(ch) % 50 AS confidence,
                (pos * 10)::DOUBLE AS x0,
