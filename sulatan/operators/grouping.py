@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sulatan.operators.ordered import CHUNK, chunked, running, skew_join, segments
+from sulatan.operators.ordered import CHUNK, chunked, previous_row, running, segments, skew_join
+from sulatan.session import stored
 
 LINE = ["page_id", "line_no"]
 CHUNK_PIXELS = 16384.0
@@ -304,65 +305,92 @@ def words_to_lines(words: DataFrame, counts: DataFrame, keys: list[str], word_in
 BAND_SMOOTH, BAND_RUN, BAND_MERGE, BAND_MIN_GAP, BAND_EXPAND, BAND_FULL = 0.02, 0.3, 0.6, 5.0, 0.5, 0.6
 
 
+#: rows of a page that one task sorts, and rows of a grid cell for looking up a row
+BAND_CHUNK, BAND_CELL = 4096.0, 4096
+
+
+def _islands(df: DataFrame, keys: list[str], fields: list[str], starts, chunk: float) -> DataFrame:
+    """Numbered runs of rows ``r`` (``_run``), a new one where ``starts(previous, current)`` holds."""
+    return segments(chunked(df, "r", chunk), keys, ["r"], fields, starts, "_run").drop(CHUNK)
+
+
+def _core_runs(p: DataFrame, height: DataFrame, keys: list[str], chunk: float) -> DataFrame:
+    """``(keys, H, start, end)``: stretches whose moving average exceeds a share of the page's greatest.
+
+    The average changes only where a covered row enters or leaves its window,
+    so it is summed over those changes, and each value holds until the next.
+    """
+    half = F.floor(F.col("size") / 2).cast("long")
+    moves = F.array(F.struct(F.greatest(F.col("r") - half, F.lit(0).cast("long")).alias("r"), F.col("v").alias("d")),
+                    F.struct((F.col("r") + half + 1).alias("r"), (-F.col("v")).alias("d")))
+    events = p.join(height, keys).select(*keys, "H", "size", F.explode(moves).alias("e")).select(*keys, "H", "size", "e.*")
+    deltas = events.groupBy(*keys, "H", "size", "r").agg(F.sum("d").alias("d")).filter("d <> 0")
+    summed = running(chunked(deltas, "r", chunk), keys, ["r"], sums={"s": "d"}).drop(CHUNK).withColumn("s", F.col("s") / F.col("size"))
+    summed = stored(summed, "profile")
+    most = summed.groupBy(*keys).agg(F.max("s").alias("_most"))
+    flagged = summed.join(most, keys).select(*keys, "H", "r", (F.col("s") > F.col("_most") * BAND_RUN).alias("core"))
+    runs = _islands(flagged, keys, ["core"], lambda a, b: a.getField("core") != b.getField("core"), chunk)
+    runs = runs.groupBy(*keys, "H", "core", "_run").agg(F.min("r").alias("start"))
+    # the last change is the last row leaving, so every core run has one after it
+    ends = runs.select(*keys, (F.col("_run") - 1).alias("_run"), F.col("start").alias("end"))
+    out = runs.filter("core").join(ends, [*keys, "_run"])
+    return out.select(*keys, "H", "start", F.least("end", "H").alias("end"))
+
+
+def _merged_runs(runs: DataFrame, keys: list[str], keep_full_lines: bool, chunk: float) -> DataFrame:
+    """Runs joined over thin gaps: ``(keys, H, median, band, start, end)``.
+
+    A stretch of runs with thin gaps is one band, unless full lines are kept
+    apart. Then a run of a line's height starts a band of its own if what the
+    band holds already has that height: always after another such run, and
+    before the first one if the smaller runs from the stretch's start reach it.
+    """
+    page = runs.groupBy(*keys).agg(F.percentile(F.col("end") - F.col("start"), 0.5).alias("median"))
+    sized = runs.join(page, keys).withColumns({"r": F.col("start"), "_gap": F.greatest(F.lit(BAND_MIN_GAP), F.col("median") * BAND_MERGE),
+                                               "_full": (F.col("end") - F.col("start")) >= BAND_FULL * F.col("median")})
+    cut = _islands(sized, keys, ["start", "end", "_gap"], lambda a, b: b.getField("start") - a.getField("end") > b.getField("_gap"), chunk)
+    if not keep_full_lines:
+        bands = cut.withColumnRenamed("_run", "band")
+    else:
+        whole = cut.groupBy(*keys, "_run").agg(F.min("start").alias("_s0"), F.min(F.when(F.col("_full"), F.col("start"))).alias("_f0"))
+        placed = previous_row(chunked(cut.join(whole, [*keys, "_run"]), "r", chunk), keys, ["r"], ["end"])
+        held = F.col("prev").getField("end") - F.col("_s0")
+        fresh = (F.col("start") == F.col("_s0")) | (F.col("_full") & ((F.col("start") > F.col("_f0")) | (held >= BAND_FULL * F.col("median"))))
+        numbered = running(placed.withColumn("_fresh", fresh.cast("int")), keys, ["r"], sums={"band": "_fresh"})
+        bands = numbered.withColumn("band", F.col("band") - 1)
+    return bands.groupBy(*keys, "H", "median", F.col("band").cast("long").alias("band")).agg(F.min("start").alias("start"), F.max("end").alias("end"))
+
+
 def detect_bands(profile: DataFrame, keys: list[str], row: str = "row", value: str = "value",
-                 height: DataFrame | None = None, keep_full_lines: bool = False) -> DataFrame:
+                 height: DataFrame | None = None, keep_full_lines: bool = False, chunk: float = BAND_CHUNK) -> DataFrame:
     """Text bands ``(keys, band, y0, y1)`` of a row profile.
 
-    The profile holds one row per pixel row, so a page is bounded by its height
-    however many boxes it had. ``height`` gives page heights; without it a page
-    ends at its last covered row. With ``keep_full_lines`` two runs that are both
-    full lines are never merged.
+    ``height`` gives page heights; without it a page ends at its last covered
+    row. With ``keep_full_lines`` two runs that are both full lines are never
+    merged. Rows are swept in chunks that hand their last state on, so a task
+    never sorts more than ``chunk`` rows of a page, however long it is.
     """
-    p = profile.filter(F.col(value) > 0).groupBy(*keys, F.col(row).cast("long").alias("r")).agg(F.sum(value).cast("double").alias("v"))
+    p = stored(profile.filter(F.col(value) > 0).groupBy(*keys, F.col(row).cast("long").alias("r")).agg(F.sum(value).cast("double").alias("v")), "rows")
     if height is None:
         height = p.groupBy(*keys).agg((F.max("r") + 1).alias("height"))
     height = height.select(*keys, F.col("height").cast("long").alias("H"))
     height = height.withColumn("size", F.greatest(F.lit(3), F.bround(F.col("H") * BAND_SMOOTH).cast("int").bitwiseOR(F.lit(1))).cast("long"))
-    half = F.floor(F.col("size") / 2).cast("long")
+    bands = stored(_merged_runs(_core_runs(p, height, keys, chunk), keys, keep_full_lines, chunk), "bands")
 
-    # moving average: each value enters the window at r - half and leaves after r + half
-    events = p.join(height, keys).select(*keys, F.explode(F.array(
-        F.struct(F.greatest(F.col("r") - half, F.lit(0).cast("long")).alias("r"), F.col("v").alias("d")),
-        F.struct((F.col("r") + half + 1).alias("r"), (-F.col("v")).alias("d")))).alias("e")).select(*keys, "e.*")
-    deltas = events.groupBy(*keys, "r").agg(F.sum("d").alias("d"))
-    rows = height.select(*keys, "H", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("H") - 1)).alias("r"))
-    dense = rows.join(deltas, [*keys, "r"], "left").join(p, [*keys, "r"], "left")
-    page = W.partitionBy(*keys)
-    upto = page.orderBy("r").rowsBetween(W.unboundedPreceding, W.currentRow)
-    onward = page.orderBy("r").rowsBetween(W.currentRow, W.unboundedFollowing)
-    smooth = dense.withColumn("s", F.sum(F.coalesce("d", F.lit(0.0))).over(upto) / F.col("size"))
-    core = smooth.withColumn("is_core", F.col("s") > F.max("s").over(page) * BAND_RUN)
-    blank = F.when(F.col("v").isNull(), F.col("r"))
-    rowinfo = core.select(*keys, "r", "H", "is_core", F.max(blank).over(upto).alias("blank_up"),
-                          F.min(blank).over(onward).alias("blank_down"),
-                          F.sum(F.when(F.col("is_core"), 0).otherwise(1)).over(upto).alias("island"))
-    runs = rowinfo.filter("is_core").groupBy(*keys, "H", "island").agg(F.min("r").alias("start"), (F.max("r") + 1).alias("end"))
-    pages = runs.groupBy(*keys, "H").agg(
-        F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs"),
-        F.percentile(F.col("end") - F.col("start"), 0.5).alias("median"))
-    gap = F.greatest(F.lit(BAND_MIN_GAP), F.col("median") * BAND_MERGE)
-
-    def step(acc: Column, cur: Column) -> Column:
-        prev = F.element_at(acc, -1)
-        close = (cur["start"] - prev["end"]) <= gap
-        if keep_full_lines:
-            shorter = F.least(cur["end"] - cur["start"], prev["end"] - prev["start"])
-            close = close & ~(shorter >= BAND_FULL * F.col("median"))
-        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(prev["start"].alias("start"), cur["end"].alias("end"))))
-        return F.when(close, joined).otherwise(F.concat(acc, F.array(cur)))
-
-    merged = pages.withColumn("m", F.aggregate(F.slice("runs", F.lit(2), F.size("runs")), F.slice("runs", 1, 1), step))
+    before = bands.select(*keys, (F.col("band") + 1).alias("band"), F.col("end").alias("_end"))
+    after = bands.select(*keys, (F.col("band") - 1).alias("band"), F.col("start").alias("_start"))
     expand = F.greatest(F.lit(BAND_MIN_GAP), F.bround(F.col("median") * BAND_EXPAND)).cast("long")
-    bands = merged.select(*keys, "H", expand.alias("x"), F.posexplode("m").alias("band", "b")).select(
-        *keys, "H", "x", F.col("band").cast("long").alias("band"), F.col("b.start").alias("start"), F.col("b.end").alias("end"))
-    order = page.orderBy("band")
-    bands = bands.withColumns({
-        "lim0": F.coalesce(F.floor((F.lag("end").over(order) + F.col("start")) / 2), F.lit(0)).cast("long"),
-        "lim1": F.coalesce(F.floor((F.col("end") + F.lead("start").over(order)) / 2), F.col("H")).cast("long")})
-    bands = bands.withColumns({"c0": F.greatest("lim0", F.col("start") - F.col("x")), "c1": F.least("lim1", F.col("end") + F.col("x"))})
-    at0 = rowinfo.select(*keys, F.col("r").alias("c0"), "blank_up")
-    at1 = rowinfo.select(*keys, F.col("r").alias("c1"), "blank_down")
-    out = bands.join(at0, [*keys, "c0"], "left").join(at1, [*keys, "c1"], "left")
-    return out.select(*keys, "band",
-                      F.when(F.col("blank_up") > F.col("lim0"), F.col("blank_up")).otherwise(F.col("lim0")).alias("y0"),
-                      F.when(F.col("blank_down") < F.col("lim1"), F.col("blank_down")).otherwise(F.col("lim1")).alias("y1"))
+    bands = bands.join(before, [*keys, "band"], "left").join(after, [*keys, "band"], "left").withColumns({
+        "lim0": F.coalesce(F.floor((F.col("_end") + F.col("start")) / 2), F.lit(0)).cast("long"),
+        "lim1": F.coalesce(F.floor((F.col("end") + F.col("_start")) / 2), F.col("H")).cast("long")})
+    bands = bands.withColumns({"c0": F.greatest("lim0", F.col("start") - expand), "c1": F.least("lim1", F.col("end") + expand)})
+    # inked rows as stretches; an edge inside one moves to its blank neighbour
+    inked = _islands(p, keys, ["r"], lambda a, b: b.getField("r") - a.getField("r") > 1, chunk).groupBy(*keys, "_run").agg(F.min("r").alias("i0"), (F.max("r") + 1).alias("i1"))
+    cells = inked.select(*keys, "i0", "i1", F.explode(F.sequence(F.floor(F.col("i0") / BAND_CELL), F.floor((F.col("i1") - 1) / BAND_CELL))).alias("_cell"))
+    edges = bands.select(*keys, "band", F.explode(F.array(F.col("c0"), F.col("c1"))).alias("c")).withColumn("_cell", F.floor(F.col("c") / BAND_CELL))
+    hit = edges.join(cells, [*keys, "_cell"]).filter("i0 <= c and c < i1").select(*keys, "band", "c", "i0", "i1").distinct()
+    up, down = hit.select(*keys, "band", F.col("c").alias("c0"), (F.col("i0") - 1).alias("_up")), hit.select(*keys, "band", F.col("c").alias("c1"), F.col("i1").alias("_down"))
+    out = bands.join(up, [*keys, "band", "c0"], "left").join(down, [*keys, "band", "c1"], "left")
+    blank0, blank1 = F.coalesce("_up", "c0"), F.coalesce("_down", "c1")
+    return out.select(*keys, "band", F.when(blank0 > F.col("lim0"), blank0).otherwise(F.col("lim0")).alias("y0"),
+                      F.when(blank1 < F.col("lim1"), blank1).otherwise(F.col("lim1")).alias("y1"))

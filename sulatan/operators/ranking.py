@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sulatan.session import stored
+
 
 def top_k(df: DataFrame, keys: list[str], order: list, k: int, rank: str = "rank") -> DataFrame:
     """First ``k`` rows of each key by ``order``; Spark limits each task to ``k`` before the shuffle."""
@@ -19,21 +21,35 @@ def top_candidates(letters, k: int = 3):
     return F.transform(F.slice(ordered, 1, k), lambda c: F.struct(c["char"].alias("char"), (-c["np"]).alias("p")))
 
 
-def spaced_top_k(df: DataFrame, keys: list[str], position: str, score: str, min_gap: float, k: int = 14) -> DataFrame:
-    """Greedily keep the lowest scores that lie at least ``min_gap`` from every kept position.
+def spaced_top_k(df: DataFrame, keys: list[str], position: str, score: str, min_gap: float, k: int) -> DataFrame:
+    """The ``k`` lowest scores that lie at least ``min_gap`` from every lower one kept.
 
-    Each pick depends on all earlier ones, so the choice is a fold over one sorted
-    array per key. Rows are first reduced to one per position, which bounds the
-    array by the pixel width of an image, not by the number of rows.
+    As if positions were taken one after another, best score first, then
+    smallest position; null positions or scores do not take part. In each
+    round every position that beats all others nearer than the gap is taken at
+    once and those around it fall, which leaves the same picks: nothing better
+    can still forbid them. Each round takes the best position left, so there
+    are at most ``k``. Positions meet through cells of one gap's width, so a
+    position is compared with three rows, and no key is gathered.
     """
-    reduced = df.groupBy(*keys, position).agg(F.min(score).alias(score))
-    items = reduced.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(score, position))).alias("_items"))
-    empty = F.array().cast("array<double>")
-
-    def step(acc, row):
-        x = row[position].cast("double")
-        free = F.forall(acc, lambda c: F.abs(x - c) >= min_gap)
-        return F.when((F.size(acc) < k) & free, F.array_append(acc, x)).otherwise(acc)
-
-    picked = items.select(*keys, F.aggregate("_items", empty, step).alias("_picked"))
-    return picked.select(*keys, F.explode(F.sort_array("_picked")).alias(position))
+    if not min_gap > 0 or k < 1:
+        raise ValueError("min_gap and k must be positive")
+    cell = F.floor(F.col("_x") / F.lit(float(min_gap))).cast("long")
+    left = df.groupBy(*keys, F.col(position).cast("double").alias("_x")).agg(F.min(score).alias("_s")).filter("_x is not null and _s is not null")
+    left = stored(left.withColumns({"_cell": cell, "_at": F.struct("_s", "_x")}), "spaced")
+    taken = None
+    for _ in range(k):
+        best = left.groupBy(*keys, "_cell").agg(F.min("_at").alias("_best"))
+        # around: every row and every pick beside the cells where it could matter
+        around = left.select(*keys, "_at", F.explode(F.array(F.col("_cell") - 1, F.col("_cell") + 1)).alias("_cell"))
+        near = F.abs(F.col("_at._x") - F.col("_best._x")) < min_gap
+        beaten = around.join(best, [*keys, "_cell"]).filter(near & (F.col("_at") < F.col("_best"))).select(*keys, "_cell").distinct()
+        picks = stored(best.join(beaten, [*keys, "_cell"], "left_anti"), "picks")
+        taken = picks if taken is None else taken.unionByName(picks)
+        reach = picks.select(*keys, "_best", F.explode(F.array(F.col("_cell") - 1, F.col("_cell"), F.col("_cell") + 1)).alias("_cell"))
+        fallen = left.join(reach, [*keys, "_cell"]).filter(near).select(*keys, "_x").distinct()
+        left = stored(left.join(fallen, [*keys, "_x"], "left_anti"), "spaced")
+        if left.isEmpty():
+            break
+    first = top_k(taken.select(*keys, F.col("_best._x").alias(position), "_best"), keys, [F.col("_best")], k)
+    return first.select(*keys, position)

@@ -10,9 +10,10 @@ from sulatan.operators import boxes as B
 from sulatan.operators import grouping as W
 from sulatan.operators.ranking import spaced_top_k
 from sulatan.plans import views as V
-from sulatan.plans.views import with_views
+from sulatan.plans.views import recursive, with_views
 
 KEYS = ["page_id", "line_no"]
+SPACED_MOST = 14
 ROTATION = ((0.5, -0.25, 3.0), (0.25, 0.5, 7.0))
 
 
@@ -205,7 +206,7 @@ QUERIES = {
     "crop_label_prefix": _crop_names,
     "box_to_original": _mapped,
     "confidence_band": _band_of,
-    "spaced_top_k": lambda s, d: spaced_top_k(V.v_profile(s, d), ["page_id"], "row", "value", 40.0),
+    "spaced_top_k": lambda s, d: spaced_top_k(V.v_profile(s, d), ["page_id"], "row", "value", 40.0, SPACED_MOST),
 }
 
 # --- SQL -------------------------------------------------------------------------
@@ -285,9 +286,20 @@ _OWN = f"""{_SIZES},
             AND c.comp_id = m.comp_id AND c.rn = 1)"""
 
 
-def _sql_bands() -> str:
-    return with_views("""
-        WITH h AS (SELECT page_id, max(row) + 1 AS hh FROM v_profile GROUP BY ALL),
+def _sql_bands(full: bool = False) -> str:
+    # one run after another: each step sees the band that its page has built so far
+    walk = """n AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY st) AS rn FROM runs JOIN md USING (page_id)),
+        walk AS (SELECT page_id, rn, st, en, 0 AS grp FROM n WHERE rn = 1
+          UNION ALL SELECT page_id, rn, CASE WHEN joins THEN st ELSE s2 END, e2, CASE WHEN joins THEN grp ELSE grp + 1 END
+          FROM (SELECT w.page_id, n.rn, w.st, w.grp, n.st AS s2, n.en AS e2,
+                       n.st - w.en <= greatest(5.0, med * 0.6) AND least(n.en - n.st, w.en - w.st) < 0.6 * med AS joins
+                FROM walk w JOIN n ON n.page_id = w.page_id AND n.rn = w.rn + 1)),
+        gr AS (SELECT n.*, grp + 1 AS grp FROM walk w JOIN n USING (page_id, rn)),"""
+    plain = """f AS (SELECT *, CASE WHEN st - lag(en) OVER (PARTITION BY page_id ORDER BY st) <= greatest(5.0, med * 0.6) THEN 0 ELSE 1 END AS fresh
+              FROM runs JOIN md USING (page_id)),
+        gr AS (SELECT *, sum(fresh) OVER (PARTITION BY page_id ORDER BY st) AS grp FROM f),"""
+    sql = with_views("""
+        WITH RECURSIVE h AS (SELECT page_id, max(row) + 1 AS hh FROM v_profile GROUP BY ALL),
         s AS (SELECT page_id, hh, greatest(3, CASE WHEN round_even(hh * 0.02, 0)::BIGINT % 2 = 0 THEN round_even(hh * 0.02, 0)::BIGINT + 1
                      ELSE round_even(hh * 0.02, 0)::BIGINT END) AS size FROM h),
         d AS (SELECT s.page_id, hh, size, r, coalesce(value, 0)::DOUBLE AS v FROM (SELECT *, unnest(range(hh)) AS r FROM s) s
@@ -300,9 +312,7 @@ def _sql_bands() -> str:
         i AS (SELECT *, sum(CASE WHEN core THEN 0 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY r) AS isl FROM k),
         runs AS (SELECT page_id, hh, isl, min(r) AS st, max(r) + 1 AS en FROM i WHERE core GROUP BY ALL),
         md AS (SELECT page_id, median(en - st) AS med FROM runs GROUP BY ALL),
-        f AS (SELECT *, CASE WHEN st - lag(en) OVER (PARTITION BY page_id ORDER BY st) <= greatest(5.0, med * 0.6) THEN 0 ELSE 1 END AS fresh
-              FROM runs JOIN md USING (page_id)),
-        gr AS (SELECT *, sum(fresh) OVER (PARTITION BY page_id ORDER BY st) AS grp FROM f),
+        @merge@
         b AS (SELECT page_id, hh, med, grp - 1 AS band, min(st) AS st, max(en) AS en FROM gr GROUP BY ALL),
         l AS (SELECT *, coalesce((lag(en) OVER w + st) // 2, 0) AS l0, coalesce((en + lead(st) OVER w) // 2, hh) AS l1,
                      greatest(5.0, round_even(med * 0.5, 0))::BIGINT AS x FROM b WINDOW w AS (PARTITION BY page_id ORDER BY band)),
@@ -311,6 +321,7 @@ def _sql_bands() -> str:
                coalesce((SELECT max(r) FROM d WHERE d.page_id = q.page_id AND v = 0 AND r <= c0 AND r > l0), l0)::BIGINT AS y0,
                coalesce((SELECT min(r) FROM d WHERE d.page_id = q.page_id AND v = 0 AND r >= c1 AND r < l1), l1)::BIGINT AS y1
         FROM q""", "v_profile")
+    return recursive(sql.replace("@merge@", walk if full else plain))
 
 
 def _sql_fused(pen: bool) -> str:
@@ -400,6 +411,12 @@ ORACLES = {
         p AS (SELECT w.page_id, idx, coalesce((SELECT tl FROM f WHERE f.page_id = w.page_id AND idx >= en - n AND idx < en), (SELECT count(*) FROM f WHERE f.page_id = w.page_id)) AS text_line FROM w)
         SELECT page_id, text_line::BIGINT AS text_line, count(*) AS n, min(idx)::BIGINT AS first_idx, max(idx)::BIGINT AS last_idx FROM p GROUP BY ALL""", "v_lines"),
     "detect_bands": _sql_bands(),
+    "detect_bands_full_lines": _sql_bands(True),
+    "spaced_top_k": recursive(with_views(f"""WITH RECURSIVE picks AS (SELECT page_id, 0 AS n, []::BIGINT[] AS rows FROM v_profile GROUP BY ALL
+          UNION ALL SELECT page_id, n + 1, list_append(rows, row) FROM (
+            SELECT p.page_id, n, rows, v.row, row_number() OVER (PARTITION BY p.page_id ORDER BY value, v.row) AS rn FROM picks p JOIN v_profile v ON v.page_id = p.page_id
+            WHERE n < {SPACED_MOST} AND list_bool_and([true] || list_transform(rows, lambda c: abs(c - v.row) >= 40))) WHERE rn = 1)
+        SELECT page_id, unnest(rows)::DOUBLE AS row FROM (SELECT *, max(n) OVER (PARTITION BY page_id) AS last FROM picks) WHERE n = last""", "v_profile")),
     "component_to_band": with_views("""
         WITH e AS (SELECT DISTINCT page_id, y0, y1 FROM v_marks),
         c AS (SELECT e.*, band, least(y1, b1) - greatest(y0, b0) AS ov, abs((y0 + y1) / 2 - (b0 + b1) / 2) AS away FROM e JOIN v_bands USING (page_id)),

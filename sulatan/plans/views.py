@@ -420,3 +420,9 @@ def with_views(body: str, *names: str) -> str:
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
+
+
+def recursive(sql: str) -> str:
+    """``sql`` of `with_views` whose body begins ``WITH RECURSIVE``: the keyword belongs to the first of all CTEs."""
+    head, keyword, rest = sql.partition(",\nRECURSIVE ")
+    return head.replace("WITH ", "WITH RECURSIVE ", 1) + ",\n" + rest if keyword else sql

@@ -128,6 +128,65 @@ def test_bands(spark, full, inked, want):
     assert got == {page: want for page in range(3)}
 
 
+def _bands_by_rows(profile, height, full):
+    """Row by row and run by run, as a page is read."""
+    v = [profile.get(r, 0) for r in range(height)]
+    size = max(3, round(height * .02) | 1)
+    half = size // 2
+    smooth = [sum(v[max(0, r - half):r + half + 1]) / size for r in range(height)]
+    core = [s > max(smooth) * .3 for s in smooth] + [False]
+    runs, start = [], None
+    for r, c in enumerate(core):
+        if c and start is None:
+            start = r
+        elif not c and start is not None:
+            runs.append((start, r))
+            start = None
+    sizes = sorted(b - a for a, b in runs)
+    median = (sizes[len(sizes) // 2] + sizes[(len(sizes) - 1) // 2]) / 2
+    merged = []
+    for a, b in runs:
+        if merged and a - merged[-1][1] <= max(5, median * .6) and not (full and min(b - a, merged[-1][1] - merged[-1][0]) >= .6 * median):
+            merged[-1][1] = b
+        else:
+            merged.append([a, b])
+    out = []
+    for i, (a, b) in enumerate(merged):
+        low = (merged[i - 1][1] + a) // 2 if i else 0
+        high = (b + merged[i + 1][0]) // 2 if i + 1 < len(merged) else height
+        grow = max(5, round(median * .5))
+        y0, y1 = max(low, a - grow), min(high, b + grow)
+        while y0 > low and v[y0]:
+            y0 -= 1
+        while y1 < high and v[y1]:
+            y1 += 1
+        out.append((max(y0, low), min(y1, high)))
+    return out
+
+
+@pytest.mark.parametrize("full", [False, True])
+@pytest.mark.parametrize("chunk", [37.0, 4096.0])
+def test_bands_against_rows(spark, full, chunk, monkeypatch):
+    """Random pages, cut into chunks far smaller than a page, and a lookup grid of few rows."""
+    monkeypatch.setattr(W, "BAND_CELL", 16 if chunk < 100 else 4096)
+    rng = random.Random(9)
+    pages = {}
+    for page in range(12):
+        profile, row = {}, rng.randint(0, 30)
+        while row < 900:
+            tall, ink = rng.choice([3, 6, 12, 14, 20, 40]), rng.randint(1, 9)
+            profile |= {r: max(1, ink + rng.randint(-1, 1)) for r in range(row, row + tall) if rng.random() < .97}
+            row += tall + rng.choice([1, 2, 4, 8, 15, 40])
+        pages[page] = profile
+    df = spark.createDataFrame([(k, r, v) for k, p in pages.items() for r, v in p.items()], "page_id int, row int, value int").repartition(5)
+    tall = spark.createDataFrame([(k, 1000) for k in pages], "page_id int, height int")
+    got = {}
+    for r in W.detect_bands(df, ["page_id"], height=tall, keep_full_lines=full, chunk=chunk).orderBy("page_id", "band").collect():
+        got.setdefault(r["page_id"], []).append((r["y0"], r["y1"]))
+    assert got == {k: _bands_by_rows(p, 1000, full) for k, p in pages.items()}
+    assert W.detect_bands(df.limit(0), ["page_id"]).collect() == []
+
+
 #: letters of height 20 that set the line's median height and never meet another box
 LETTERS = [(1000.0 + 50 * i, 0.0, 1010.0 + 50 * i, 20.0) for i in range(9)]
 

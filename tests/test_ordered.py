@@ -48,19 +48,23 @@ def test_skew_join(spark, rows, how):
     same(O.skew_join(rows, right, ["k"], ["id"], how, counts=counts), rows.join(right, "k", how), ["n"])
 
 
-def test_spaced_top_k(spark):
+@pytest.mark.parametrize("k,gap,whole", [(5, 20, True), (1, 20, True), (40, 3, True), (40, 2.5, False)])
+def test_spaced_top_k(spark, k, gap, whole):
     rng = random.Random(2)
-    data = [(k, rng.randint(0, 200), rng.randint(0, 5)) for k in range(3) for _ in range(150)]
+    place = (lambda: rng.randint(-50, 200)) if whole else (lambda: round(rng.uniform(-50, 200), 1))
+    data = [(key, float(place()), rng.randint(0, 5)) for key in range(3) for _ in range(250)] + [(7, float(x), x) for x in range(90)]
     want = set()
-    for k in range(3):
+    for key in {r[0] for r in data}:
         best = {}
         for kk, x, s in data:
-            if kk == k:
-                best[x] = min(s, best.get(x, 9))
+            if kk == key:
+                best[x] = min(s, best.get(x, 99))
         kept = []
         for s, x in sorted((s, x) for x, s in best.items()):
-            if len(kept) < 5 and all(abs(x - c) >= 20 for c in kept):
+            if len(kept) < k and all(abs(x - c) >= gap for c in kept):
                 kept.append(x)
-        want |= {(k, float(x)) for x in kept}
-    out = spaced_top_k(spark.createDataFrame(data, "k int, x int, s int"), ["k"], "x", "s", 20, 5)
-    assert {tuple(r) for r in out.collect()} == want
+        want |= {(key, x) for x in kept}
+    df = spark.createDataFrame(data + [(9, None, 1), (9, 4.0, None)], "k int, x double, s int").repartition(6)
+    assert {tuple(r) for r in spaced_top_k(df, ["k"], "x", "s", gap, k).collect()} == want
+    with pytest.raises(ValueError):
+        spaced_top_k(df, ["k"], "x", "s", 0, k)

@@ -10,13 +10,11 @@ from sulatan.plans.registry import oracle_sql, queries
 SF_DIR = os.environ.get("SULATAN_SF_DIR", "/root/testdata/sf0.001")
 SOME = ["transliterate", "syllable_breakdown", "wordlist_load", "resolve_lines", "words_by_gap", "words_by_gap_refined", "row_clusters", "component_to_band",
         "fit_baseline", "merge_boxes", "ovo_vote", "classification_metrics", "sanitize_detections", "archive_write", "held_steady", "session_log_stream"]
-ROWS_ONLY = {"detect_bands_full_lines", "spaced_top_k"}
 NAMES = sorted(queries()) if os.environ.get("SULATAN_ALL_QUERIES") else SOME
 
 
 def test_every_query_has_sql():
-    assert set(queries()) - set(oracle_sql()) == ROWS_ONLY
-    assert set(oracle_sql()) <= set(queries())
+    assert set(queries()) == set(oracle_sql())
 
 
 @pytest.fixture(scope="module")
