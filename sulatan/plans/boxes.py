@@ -144,9 +144,9 @@ def _position(spark, sf):
     return out.filter("char <> fixed").groupBy("page_id", "char", "fixed").agg(_n(), _long("pos", "pos_sum"))
 
 
-def _merge(rule):
+def _merge(rule, view=V.v_marks):
     def run(spark, sf):
-        out = B.merge_boxes(V.v_marks(spark, sf), rule)
+        out = B.merge_boxes(view(spark, sf), rule)
         return out.groupBy(*KEYS).agg(_n(), F.sum("x0").alias("x0"), F.sum("y0").alias("y0"), F.sum("x1").alias("x1"), F.sum("y1").alias("y1"))
     return run
 
@@ -198,9 +198,9 @@ QUERIES = {
     "fit_baseline": _baseline,
     "position_fix": _position,
     "merge_boxes": _merge("marks"),
-    "merge_boxes_stacked": _merge("stacked"),
-    "merge_boxes_strokes": _merge("strokes"),
-    "merge_boxes_duplicates": _merge("duplicates"),
+    "merge_boxes_stacked": _merge("stacked", V.v_broken),
+    "merge_boxes_strokes": _merge("strokes", V.v_broken),
+    "merge_boxes_duplicates": _merge("duplicates", V.v_broken),
     "fuse_glyph_reading": _fused(False),
     "fuse_glyph_reading_pen": _fused(True),
     "crop_label_prefix": _crop_names,
@@ -341,14 +341,48 @@ def _sql_fused(pen: bool) -> str:
         FROM t GROUP BY ALL""", "v_glyph_pred")
 
 
-def _sql_merge(case: str) -> str:
+def _sql_merge() -> str:
     return with_views(f"""WITH {_SIZES},
-        d AS (SELECT v.*, mh, char IN ('i', 'j') AND NOT is_mark AS owns, {case} AS joins FROM v_marks v JOIN sz USING (page_id, line_no)),
-        o AS (SELECT page_id, line_no, x0, x1, y1, CASE WHEN owns AND joins THEN line_no * 40 + 2.0::DOUBLE ELSE y0 END AS y0
-              FROM d WHERE NOT (is_mark AND joins))
+        d AS (SELECT v.*, mh, char IN ('i', 'j') AND NOT is_mark AS owns FROM v_marks v JOIN sz USING (page_id, line_no)),
+        o AS (SELECT page_id, line_no, x0, x1, y1, CASE WHEN owns THEN line_no * 40 + 2.0::DOUBLE ELSE y0 END AS y0 FROM d WHERE NOT is_mark)
         SELECT page_id, line_no, {_SUMS} FROM o GROUP BY ALL""", "v_marks")
 
 
+def _sql_pieces(fits: str, rank: str, once: bool) -> str:
+    """The pieces of each letter as a list; each step unites the best pair that fits, until none does.
+
+    Letters of `v_broken` do not overlap each other, so only pieces of one letter can.
+    """
+    over = "(least(a.x1, b.x1) - greatest(a.x0, b.x0))"
+    gap = "greatest(0.0, greatest(a.y0, b.y0) - least(a.y1, b.y1))"
+    narrow = "least(a.x1 - a.x0, b.x1 - b.x0)"
+    put = lambda x: x.format(over=over, gap=gap, narrow=narrow)
+    source = "SELECT DISTINCT page_id, line_no, pos, x0, y0, x1, y1 FROM v_broken" if once else "SELECT * FROM v_broken"
+    return recursive(with_views(f"""WITH RECURSIVE sz AS (SELECT page_id, line_no, {'greatest(1.0, median(y1 - y0))' if once else 'median(y1 - y0)'} AS mh FROM v_broken GROUP BY ALL),
+        cols AS (SELECT page_id, line_no, pos, mh, list({{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}} ORDER BY x0, y0, x1, y1) AS bs FROM ({source}) JOIN sz USING (page_id, line_no) GROUP BY ALL),
+        steps AS (SELECT *, 0 AS step FROM cols
+          UNION ALL SELECT page_id, line_no, pos, mh,
+            {'list_sort' if once else ''}(list_transform(list_filter(range(1, len(bs) + 1), lambda k: k <> best.j), lambda k: CASE WHEN k <> best.i THEN bs[k] ELSE
+              {{'x0': least(bs[best.i].x0, bs[best.j].x0), 'y0': least(bs[best.i].y0, bs[best.j].y0), 'x1': greatest(bs[best.i].x1, bs[best.j].x1), 'y1': greatest(bs[best.i].y1, bs[best.j].y1)}} END)), step + 1
+          FROM (SELECT s.page_id, s.line_no, s.pos, s.mh, any_value(bs) AS bs, any_value(step) AS step, min({{{put(rank)}'i': i, 'j': j}}) AS best
+                FROM (SELECT *, bs[i] AS a, bs[j] AS b FROM (SELECT *, unnest(range(i + 1, len(bs) + 1)) AS j FROM (SELECT *, unnest(range(1, len(bs))) AS i FROM steps))) s
+                WHERE {put(fits)} GROUP BY ALL)),
+        ended AS (SELECT * FROM steps QUALIFY row_number() OVER (PARTITION BY page_id, line_no, pos ORDER BY step DESC) = 1),
+        flat AS (SELECT page_id, line_no, unnest(bs) AS b FROM ended)
+        SELECT page_id, line_no, count(*) AS n, sum(b.x0) AS x0, sum(b.y0) AS y0, sum(b.x1) AS x1, sum(b.y1) AS y1 FROM flat GROUP BY ALL""", "v_broken"))
+
+
+_STACKED = "least(greatest(a.x1 - a.x0, a.y1 - a.y0), greatest(b.x1 - b.x0, b.y1 - b.y0)) >= 0.35 * mh AND {narrow} > 0 AND {over} >= 0.5 * {narrow} AND {gap} <= 0.3 * mh"
+_STROKES = ("least(a.y1 - a.y0, b.y1 - b.y0) <= 0.55 * mh AND {over} >= 0.38 * greatest({narrow}, 1.0) AND {gap} <= 0.18 * mh "
+            "AND greatest(a.x1, b.x1) - least(a.x0, b.x0) <= 1.25 * mh")
+# of boxes that cover each other the first stays: at most two boxes of a letter do
+_COPIES = with_views(f"""WITH d AS (SELECT DISTINCT page_id, line_no, pos, x0, y0, x1, y1 FROM v_broken),
+        gone AS (SELECT DISTINCT b.* FROM d a JOIN d b USING (page_id, line_no, pos) WHERE (a.x0, a.y0, a.x1, a.y1) < (b.x0, b.y0, b.x1, b.y1)
+          AND greatest(0.0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0.0, least(a.y1, b.y1) - greatest(a.y0, b.y0))
+              > 0.92 * greatest(1.0, least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0))))
+        SELECT page_id, line_no, {_SUMS} FROM (SELECT * FROM d EXCEPT SELECT * FROM gone) GROUP BY ALL""", "v_broken")
+
+
 _BASE = """
     xl AS (SELECT page_id, line_no, (x0 + x1) / 2 AS x, y1 AS y, y1 - y0 AS h FROM v_written WHERE char IN ('a','c','e','m','n','o','r','s','u','w')),
     f1 AS (SELECT page_id, line_no, regr_slope(y, x) AS a, regr_intercept(y, x) AS c, count(*) AS n, max(x) - min(x) AS rg, median(h) AS xh, median(y) AS flat
@@ -476,10 +510,10 @@ ORACLES = {
                 WHEN char = 'l' AND (has_dot OR (mixed_case AND y1 - y0 <= 1.15 * xh)) THEN 'i'
                 WHEN char = 'i' AND mixed_case AND NOT has_dot AND NOT first_in_word AND y1 - y0 >= 1.35 * xh THEN 'l' ELSE char END AS fixed FROM x)
         SELECT page_id, char, fixed, count(*) AS n, sum(pos)::BIGINT AS pos_sum FROM f WHERE char <> fixed GROUP BY ALL""", "v_written"),
-    "merge_boxes": _sql_merge("true"),
-    "merge_boxes_stacked": _sql_merge("false"),
-    "merge_boxes_strokes": _sql_merge("4 <= 0.18 * mh"),
-    "merge_boxes_duplicates": _sql_merge("false"),
+    "merge_boxes": _sql_merge(),
+    "merge_boxes_stacked": _sql_pieces(_STACKED, "", False),
+    "merge_boxes_strokes": _sql_pieces(_STROKES, "'s': -{over} / greatest({narrow}, 1.0), 'g': {gap}, ", True),
+    "merge_boxes_duplicates": _COPIES,
     "fuse_glyph_reading": _sql_fused(False),
     "fuse_glyph_reading_pen": _sql_fused(True),
     "crop_label_prefix": with_views("""

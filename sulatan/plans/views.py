@@ -174,6 +174,28 @@ def v_marks(spark, sf_dir) -> DataFrame:
     return out.withColumns({"area": (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), "stroke": F.lit(2.0)})
 
 
+def v_broken(spark, sf_dir) -> DataFrame:
+    """Letter boxes of which some are broken: in two or three stacked parts, or found twice.
+
+    A part's height and gap follow from its letter and place, so that some
+    parts belong together and some are too small or too far apart.
+    """
+    b = v_char_boxes(spark, sf_dir)
+    code, odd = F.ascii("char"), F.col("pos") % 3
+    h, gap = F.col("y1") - F.col("y0"), (1 + odd * 3).cast("double")
+
+    def part(top, bottom, dx):
+        return F.struct((F.col("x0") + dx).alias("x0"), top.alias("y0"), (F.col("x1") + dx / 2).alias("x1"), bottom.alias("y1"))
+
+    y0, y1, third = F.col("y0"), F.col("y1"), h / 4
+    whole = F.array(part(y0, y1, F.lit(0.0)))
+    two = F.array(part(y0, y0 + third * 2 - gap, F.lit(0.0)), part(y0 + third * 2, y1, F.lit(1.0)))
+    three = F.array(part(y0, y0 + third, F.lit(0.0)), part(y0 + third + gap, y0 + third * 3, F.lit(1.0)), part(y0 + third * 3 + gap / 2, y1 + 2, F.lit(-0.5)))
+    twice = F.array(part(y0, y1, F.lit(0.0)), part(y0 + odd, y1, F.lit(0.0)))
+    parts = F.when(code % 5 == 0, two).when(code % 5 == 1, three).when(code % 5 == 2, twice).otherwise(whole)
+    return b.select("page_id", "line_no", "pos", F.explode(parts).alias("b")).select("page_id", "line_no", "pos", "b.*")
+
+
 def v_written(spark, sf_dir) -> DataFrame:
     """Letter boxes on a rising line, some raised, cut or stretched, with a dot flag."""
     b = v_char_boxes(spark, sf_dir)
@@ -354,6 +376,14 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
           UNION ALL
           SELECT page_id, line_no, pos * 2 + 1, char, true, confidence, x0 + 2, line_no * 40 + 2.0::DOUBLE, x1 - 2,
                  line_no * 40 + 6.0::DOUBLE FROM v_char_boxes WHERE char IN ('i', 'j'))"""),
+    "v_broken": (("v_char_boxes",), """
+        SELECT page_id, line_no, pos, b.x0, b.y0, b.x1, b.y1 FROM (
+          SELECT page_id, line_no, pos, unnest(CASE ord(char) % 5
+            WHEN 0 THEN [{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y0 + t * 2 - g}, {'x0': x0 + 1, 'y0': y0 + t * 2, 'x1': x1 + 0.5, 'y1': y1}]
+            WHEN 1 THEN [{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y0 + t}, {'x0': x0 + 1, 'y0': y0 + t + g, 'x1': x1 + 0.5, 'y1': y0 + t * 3}, {'x0': x0 - 0.5, 'y0': y0 + t * 3 + g / 2, 'x1': x1 - 0.25, 'y1': y1 + 2}]
+            WHEN 2 THEN [{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}, {'x0': x0, 'y0': y0 + pos % 3, 'x1': x1, 'y1': y1}]
+            ELSE [{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}] END) AS b
+          FROM (SELECT *, (y1 - y0) / 4 AS t, (1 + pos % 3 * 3)::DOUBLE AS g FROM v_char_boxes))"""),
     "v_written": (("v_char_boxes",), """
         SELECT page_id, line_no, pos, char, confidence, x0, x1,
                y0 + s + CASE WHEN char = 'l' AND pos % 3 = 1 THEN 12 WHEN char = 'i' AND pos % 3 = 2 THEN -10 ELSE 0 END AS y0,

@@ -209,10 +209,64 @@ def test_merge_by_hand(spark, rule, pieces, want):
     assert sorted(tuple(r) for r in out.collect()) == sorted((0, line, *map(float, b)) for line in range(2) for b in want + LETTERS)
 
 
-def test_merge_under_a_ruled_line(spark):
-    rows = [(0, 0, 20.0 * i, 30.0, 20.0 * i + 10, 50.0) for i in range(5000)] + [(0, 0, 0.0, 50.0, 100000.0, 52.0)]
+def _merged_by_hand(boxes, rule):
+    """Written out for plain tuples: look at all pairs, take the best, start again."""
+    med = st.median(b[3] - b[1] for b in boxes)
+    med = max(med, 1) if rule == "strokes" else med
+    live = sorted(set(boxes) if rule == "strokes" else boxes)
+
+    def rank(i, j):
+        a, b = live[i], live[j]
+        wide, tall = sorted((a[2] - a[0], b[2] - b[0])), sorted((a[3] - a[1], b[3] - b[1]))
+        both, gap = min(a[2], b[2]) - max(a[0], b[0]), max(0, max(a[1], b[1]) - min(a[3], b[3]))
+        size = [(x[2] - x[0]) * (x[3] - x[1]) for x in (a, b)]
+        if rule == "marks":
+            owner = a if size[0] >= size[1] else b
+            ok = wide[0] > 0 and min(size) <= .45 * max(size) and both >= .3 * wide[0] and gap <= min(3 * (owner[3] - owner[1]), 2.5 * med)
+        elif rule == "stacked":
+            ok = wide[0] > 0 and min(max(x[2] - x[0], x[3] - x[1]) for x in (a, b)) >= .35 * med and both >= .5 * wide[0] and gap <= .3 * med
+        else:
+            ok = tall[0] <= .55 * med and both >= .38 * max(1, wide[0]) and gap <= .18 * med and max(a[2], b[2]) - min(a[0], b[0]) <= 1.25 * med
+        return None if not ok else (-both / max(1, wide[0]), gap, i, j) if rule == "strokes" else (i, j)
+
+    while found := [r for i in range(len(live)) for j in range(i + 1, len(live)) if (r := rank(i, j))]:
+        *_, i, j = min(found)
+        a, b = live[i], live[j]
+        u = (min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]))
+        live[i] = u
+        del live[j]
+        if rule == "strokes":
+            live.sort()
+    return sorted(live)
+
+
+@pytest.mark.parametrize("rule", ["marks", "stacked", "strokes"])
+def test_merge_in_sequence(spark, rule):
+    """Random crowded lines: growing boxes change what fits next."""
+    rng = random.Random(6)
+    lines = {}
+    for line in range(60):
+        n = rng.randint(2, 14)
+        lines[line] = [(float(x := rng.randint(0, 60)), float(y := rng.randint(0, 60)), float(x + rng.randint(1, 25)), float(y + rng.choice([2, 4, 9, 20, 30]))) for _ in range(n)]
+        lines[line] += lines[line][:1]
+    df = spark.createDataFrame([(0, k, *b) for k, bs in lines.items() for b in bs], BOX).repartition(7)
+    got = {}
+    for r in B.merge_boxes(df, rule, chunk_px=25.0).collect():
+        got.setdefault(r["line_no"], []).append(tuple(r)[2:])
+    want = {k: _merged_by_hand(bs, rule) for k, bs in lines.items()}
+    assert {k: sorted(v) for k, v in got.items()} == want
+    assert sum(map(len, want.values())) < sum(len(set(b)) for b in lines.values())
+
+
+def test_huge_columns_are_not_gathered(spark, monkeypatch):
+    monkeypatch.setattr(B, "COLUMN_BOXES", 3)
+    test_merge_under_a_ruled_line(spark, 50)
+
+
+def test_merge_under_a_ruled_line(spark, n=5000):
+    rows = [(0, 0, 20.0 * i, 30.0, 20.0 * i + 10, 50.0) for i in range(n)] + [(0, 0, 0.0, 50.0, 20.0 * n, 52.0)]
     out = B.merge_boxes(spark.createDataFrame(rows, BOX), "marks").collect()
-    assert [tuple(r) for r in out] == [(0, 0, 0.0, 30.0, 100000.0, 52.0)]
+    assert [tuple(r) for r in out] == [(0, 0, 0.0, 30.0, 20.0 * n, 52.0)]
 
 
 def test_noise_tags(spark):
