@@ -44,6 +44,15 @@ def archive_eligible(detections: DataFrame, manifest: DataFrame, root: str, path
     return ok.join(files, F.col(path) == F.col("_file"), "left_semi")
 
 
+def archive_entries(eligible: DataFrame) -> DataFrame:
+    """Archive rows of eligible detections: the confirmed label, and the class the crop's name says was predicted.
+
+    A detection becomes eligible only by its user's consent to the label, so every entry is ``verified``.
+    """
+    predicted = F.regexp_extract("crop_name", "^([^_]+)_", 1)
+    return eligible.select("session_id", "crop_name", predicted.alias("predicted"), "confidence", F.lit(True).alias("verified"), F.col("char").alias("label"))
+
+
 def session_detections(sessions: DataFrame, detections: DataFrame, archive: DataFrame) -> DataFrame:
     """Detections of known sessions with their archive entry, if any.
 

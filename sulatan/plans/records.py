@@ -62,8 +62,7 @@ def _eligible(spark, sf):
 
 def _archive(spark, sf):
     path = shared_folder(spark, "archive")
-    entries = _eligible(spark, sf).select("session_id", "crop_name", F.regexp_extract("crop_name", "^([^_]+)_", 1).alias("predicted"),
-                                          "confidence", F.col("char").alias("label"))
+    entries = L.archive_entries(_eligible(spark, sf))
     S.write_archive(entries, path)
     S.write_archive(entries, path)  # a repeated run adds nothing
     return S.read_archive(spark, path)
@@ -306,7 +305,7 @@ ORACLES = {
     "session_latest_status": with_views("""SELECT session_id, arg_max(status, (ts, event_id)) AS status, min(ts) AS start_time, max(ts) FILTER (WHERE status <> 'Processing') AS end_time
         FROM v_session_events WHERE session_id <> 0 GROUP BY ALL""", "v_session_events"),
     "archive_eligible": with_views(f"WITH {_CAND} SELECT session_id, event_id, char, temp_path FROM el", "v_detections"),
-    "archive_write": with_views(f"WITH {_CAND} SELECT session_id, crop_name, char AS predicted, confidence, label FROM el", "v_detections"),
+    "archive_write": with_views(f"WITH {_CAND} SELECT session_id, crop_name, char AS predicted, confidence, true AS verified, label FROM el", "v_detections"),
     "labelled_file_listing": with_views(f"WITH {_CAND} SELECT DISTINCT label FROM el", "v_detections"),
     "acceptance_rate": with_views(f"""WITH {_CAND}, c AS (SELECT (SELECT count(*) FROM cd) AS t, (SELECT count(*) FROM el) AS a)
         SELECT t AS total_submissions, a AS archived, t - a AS rejected, a / t::DOUBLE AS acceptance_rate, 0.6::DOUBLE AS target_rate, a / t::DOUBLE >= 0.6 AS target_met FROM c""", "v_detections"),

@@ -19,25 +19,37 @@ def append_detection_log_jdbc(rows: DataFrame, url: str, table: str, **options:
     rows.write.format("jdbc").options(url=url, dbtable=table, batchsize="10000", **options).mode("append").save()
 
 
-def write_archive(entries: DataFrame, path: str, key: tuple[str, ...] = ("session_id", "crop_name")) -> None:
-    """Append archive entries under one folder per label; repeating a run adds nothing.
+#: folders that archive keys are dealt into (many more for a large archive); an append reads only those its keys fall into
+ARCHIVE_BUCKETS = 16
+
+
+def write_archive(entries: DataFrame, path: str, key: tuple[str, ...] = ("session_id", "crop_name"), buckets: int = ARCHIVE_BUCKETS) -> None:
+    """Append archive entries under one folder per bucket of keys and label; repeating a run adds nothing.
 
     Rows already present and repeats in the input are written once; rows that
-    share a name but differ elsewhere are all kept. Ranges of label and key of
-    even size are dealt to the tasks, so a frequent label is written by many.
+    share a name but differ elsewhere are all kept. Only the buckets that the
+    new keys fall into are read again, so an append costs what it brings, not
+    what the archive holds. An archive keeps the ``buckets`` it began with.
+    Rows are dealt to the tasks by bucket, label and key in ranges of even
+    size, so a frequent label is written by many.
     """
     spark = entries.sparkSession
-    fresh = entries.distinct()
+    bucketed = entries.distinct().withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
     if _exists(spark, path):
-        fresh = fresh.subtract(read_archive(spark, path).select(entries.columns))
-    fresh.repartitionByRange("label", F.xxhash64(*key)).write.mode("append").partitionBy("label").parquet(path)
+        touched = [r["bucket"] for r in bucketed.select("bucket").distinct().collect()]  # at most ``buckets`` rows
+        held = spark.read.schema(_archive_schema(bucketed.schema)).parquet(path).filter(F.col("bucket").isin(touched))
+        bucketed = bucketed.subtract(held.select(bucketed.columns))
+    bucketed.repartitionByRange("bucket", "label", F.xxhash64(*key)).write.mode("append").partitionBy("bucket", "label").parquet(path)
+
+
+def _archive_schema(schema: StructType) -> StructType:
+    """Labels are text even if all look like numbers."""
+    return StructType([StructField(f.name, StringType() if f.name == "label" else f.dataType) for f in schema])
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """Archive entries; labels stay text even if they look like numbers."""
-    found = spark.read.parquet(path).schema
-    schema = StructType([StructField(f.name, StringType() if f.name == "label" else f.dataType) for f in found])
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(_archive_schema(spark.read.parquet(path).schema)).parquet(path).drop("bucket")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

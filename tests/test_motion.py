@@ -114,6 +114,33 @@ def test_session_log(spark, tmp_path):
     assert got == {1: ("Success", 2), 2: ("Error", 2)}
 
 
+def test_parts_stay_few():
+    for fanin in (2, 3, 8):
+        for n in range(300):
+            parts = SL._live(n, fanin)
+            assert [at for at, _ in parts] == [sum(s for _, s in parts[:i]) for i in range(len(parts))] and sum(s for _, s in parts) == n
+            assert max([0, *(sum(s == size for _, s in parts) for _, size in parts)]) < fanin
+
+
+def test_session_log_is_merged(spark, tmp_path):
+    """Many batches, some written twice as after a lost driver: few folders, nothing lost or counted twice."""
+    path, base, rng = str(tmp_path / "log"), dt.datetime(2024, 1, 1), np.random.default_rng(1)
+    assert SL.current_sessions(spark, path).collect() == []
+    rows = []
+    for b in range(31):
+        own = [(int(rng.integers(5)), base + dt.timedelta(minutes=int(rng.integers(10_000))), b * 10 + i, ["Processing", "Success", "Error"][int(rng.integers(3))]) for i in range(4)]
+        rows += own
+        batch = spark.createDataFrame(own, "session_id long, ts timestamp, event_id long, status string").coalesce(1)
+        for _ in range(2 if b in (0, 2, 8, 9, 26, 30) else 1):
+            SL.write_batch(batch, b, path, fanin=3)
+        folders = len(list((tmp_path / "log").glob("size=*/first=*")))
+        assert folders <= len(SL._live(b + 1, 3)) + len(SL._live(b, 3)) + len(SL._sizes(b + 1, 3))
+    got = {r["session_id"]: (r["status"], r["n_events"], r["start_time"], r["end_time"]) for r in SL.current_sessions(spark, path, fanin=3).collect()}
+    for k in {r[0] for r in rows}:
+        mine = sorted((r[1], r[2], r[3]) for r in rows if r[0] == k)
+        assert got[k] == (mine[-1][2], len(mine), mine[0][0], max([t for t, _, s in mine if s != "Processing"], default=None))
+
+
 def test_large_models_score_like_small_ones(spark):
     rng = np.random.default_rng(0)
     sv = spark.createDataFrame([(i, i % 3, rng.normal(size=4).tolist()) for i in range(30)], "sv_id long, class int, vec array<double>")

@@ -66,6 +66,25 @@ def test_archive_keeps_colliding_names_and_text_labels(spark, tmp_path):
     assert got == [("007", 90.0), ("7", 80.0), ("7", 90.0)]
 
 
+def test_append_reads_only_its_buckets(spark, tmp_path):
+    """Unreadable files in all other buckets do not disturb an append."""
+    path = tmp_path / "archive"
+    rows = spark.range(300).selectExpr("id as session_id", "concat('c', id) as crop_name", "'A' as label")
+    sinks.write_archive(rows, str(path), buckets=16)
+    few = rows.filter("session_id < 2")
+    mine = {r[0] for r in few.selectExpr("pmod(xxhash64(session_id, crop_name), 16)").collect()}
+    others = [f for f in path.rglob("*.parquet") if int(f.parent.parent.name.split("=")[1]) not in mine]
+    assert others
+    good = {f: f.read_bytes() for f in others}
+    for f in others:
+        f.write_bytes(b"not parquet")
+        f.with_name(f".{f.name}.crc").unlink(missing_ok=True)
+    sinks.write_archive(few, str(path), buckets=16)
+    for f, data in good.items():
+        f.write_bytes(data)
+    assert sinks.read_archive(spark, str(path)).count() == 300
+
+
 def test_end_time_needs_an_update(spark):
     rows = [(1, 1, 1, "Processing"), (1, 5, 2, "Success"), (2, 3, 3, "Processing")]
     df = spark.createDataFrame(rows, "session_id int, ts int, event_id int, status string")
