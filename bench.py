@@ -19,7 +19,7 @@ HEADLINE = [
     "resolve_ambiguous_words", "resolve_lines", "spelling_correction", "box_union", "words_by_gap", "detect_bands",
     "component_to_band", "merge_boxes", "fuse_glyph_reading", "ovo_vote", "top5_similarity", "classification_metrics",
     "parse_replies", "sanitize_detections", "session_latest_status", "archive_write", "result_report_text", "steadiness",
-    "held_steady", "session_log_stream",
+    "held_steady", "session_log_stream", "rank_readings", "spaced_top_k", "kernel_similarity",
 ]
 
 
