@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sulatan.operators.ordered import BROADCAST_BYTES
+from sulatan.operators.ordered import BROADCAST_BYTES, broadcast_if_small
 from sulatan.operators.ranking import top_k
 from sulatan.session import stored
 
@@ -379,6 +379,34 @@ def apply_rejection(letters: Column, mode: str = "drop") -> Column:
     return F.array_join(F.transform(letters, lambda c: F.when(c["rejected"], "?").otherwise(c["char"])), "")
 
 
+def reject_in_words(letters: DataFrame, keys: list[str], dictionary: DataFrame | None, threshold: float | None, mode: str = "drop") -> DataFrame:
+    """Words without the letters the model does not know: ``(keys, word, word_out, n_rejected, status)``.
+
+    ``letters`` holds the keys of a word, ``pos``, ``char`` and ``familiarity``.
+    A letter below the threshold is rejected, but in a dictionary word of two
+    letters or more none is. ``drop`` leaves rejected letters out, and the
+    word if none is left; ``mark`` writes ``?`` and sets the status
+    ``unknown_letters``. Status is else ``known``.
+    """
+    if mode not in ("drop", "mark"):
+        raise ValueError("mode must be drop or mark")
+    # a word's letters are as few as its boxes
+    words = letters.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "char", "familiarity"))).alias("_l"))
+    words = words.withColumn("word", F.array_join(F.transform("_l", lambda c: c["char"]), ""))
+    if dictionary is not None:
+        known = broadcast_if_small(dictionary.select(F.col("word").alias("_known")))
+        words = words.join(known, (F.col("word") == F.col("_known")) & (F.length("word") > 1), "left")
+        real = F.col("_known").isNotNull()
+    else:
+        real = F.lit(False)
+    low = (lambda c: F.lit(False)) if threshold is None else (lambda c: ~real & F.coalesce(c["familiarity"] < float(threshold), F.lit(False)))
+    flagged = words.withColumn("_f", F.transform("_l", lambda c: F.struct(c["char"].alias("char"), low(c).alias("rejected"))))
+    n = F.size(F.filter("_f", lambda c: c["rejected"]))
+    status = F.when((n > 0) & F.lit(mode == "mark"), "unknown_letters").otherwise("known")
+    out = flagged.select(*keys, "word", apply_rejection(F.col("_f"), mode).alias("word_out"), n.cast("long").alias("n_rejected"), status.alias("status"))
+    return out if mode == "mark" else out.filter("word_out <> ''")
+
+
 # --- votes -----------------------------------------------------------------------------------
 
 def platt_probability(decision: Column, a: Column, b: Column) -> Column:

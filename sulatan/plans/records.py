@@ -140,6 +140,8 @@ def _problem(script):
     def run(spark, sf):
         r = _parsed(spark, sf)
         text, status = reply_field(F.col("reply"), "translated_text"), reply_field(F.col("reply"), "status")
+        if script == "latin":  # its recogniser says ok and blurry
+            status = F.when(status.isin("Success", "Low_Confidence"), "ok").when(status == "Blurry_Image", "blurry").otherwise(status)
         return r.select("event_id", R.page_problem(F.col("reply").isNull(), status, text, script).alias("problem"),
                         R.page_is_read(status, text, script=script).alias("is_read"))
     return run
@@ -325,7 +327,8 @@ ORACLES = {
     "page_quality_gate": with_views("SELECT event_id, CASE WHEN k < 40 THEN 'dark' WHEN value * 2 < 60 THEN 'blurry' ELSE 'ok' END AS quality FROM v_events", "v_events"),
     "page_problem": with_views("""SELECT event_id, CASE WHEN event_id % 7 < 4 THEN 'not_processed' WHEN event_type = 'signup' THEN 'too_blurry' ELSE 'no_letters' END AS problem,
         event_id % 7 >= 4 AND event_type IN ('purchase', 'view') AS is_read FROM v_events""", "v_events"),
-    "page_problem_latin": with_views("""SELECT event_id, CASE WHEN event_id % 7 < 4 THEN 'not_processed' ELSE 'no_letters' END AS problem, false AS is_read FROM v_events""", "v_events"),
+    "page_problem_latin": with_views("""SELECT event_id, CASE WHEN event_id % 7 < 4 THEN 'not_processed' WHEN event_type = 'signup' THEN 'too_blurry' ELSE 'no_letters' END AS problem,
+        event_id % 7 >= 4 AND event_type IN ('purchase', 'view') AS is_read FROM v_events""", "v_events"),
     "min_confidence_filter": with_views("SELECT event_id, confidence FROM v_detections WHERE confidence >= least(k, 90.0) AND confidence / 100 >= 0.3", "v_detections"),
     "average_confidence": with_views("SELECT session_id, round(avg(confidence), 6) AS average_confidence, count(*) AS n FROM v_detections GROUP BY ALL", "v_detections"),
     "combined_pages": with_views(_COMBINED.replace("{cond}", " AND confidence > 0"), "v_pages"),

@@ -65,6 +65,22 @@ def _rejected(score):
     return run
 
 
+#: letters of a made-up word
+WORD_LETTERS = 4
+
+
+def _unknown_words(score, mode):
+    """Words of four vectors each; every fifth word is in the dictionary."""
+    def run(spark, sf):
+        vectors = V.v_query_vec(spark, sf).withColumns({"p": F.col("vec_id") % 100 / F.lit(100.0), "word_id": F.floor(F.col("vec_id") / WORD_LETTERS)})
+        f = K.familiarity(vectors, V.v_sv(spark, sf), GAMMA, score).withColumn("familiarity", F.round("familiarity", 9))
+        letters = vectors.select("vec_id", "word_id", F.col("vec_id").alias("pos"), F.char(F.col("label") + 97).alias("char"))
+        spelled = letters.filter("word_id % 5 = 0").groupBy("word_id").agg(F.sort_array(F.collect_list(F.struct("pos", "char"))).alias("l"))
+        known = spelled.select(F.array_join("l.char", "").alias("word")).distinct()
+        return K.reject_in_words(letters.join(f, "vec_id"), ["word_id"], known, THRESHOLD, mode)
+    return run
+
+
 def _joined(spark, sf):
     return M.label_prediction_join(*V.v_eval(spark, sf))
 
@@ -89,6 +105,9 @@ QUERIES = {
     "top3_candidates": _top3,
     "unknown_letter_reject": _rejected("sim5"),
     "unknown_letter_reject_sim1": _rejected("sim1"),
+    "unknown_letter_words_drop": _unknown_words("sim5", "drop"),
+    "unknown_letter_words_mark": _unknown_words("sim1", "mark"),
+    "unknown_letter_words_prob": _unknown_words("prob", "mark"),
     "label_prediction_join": _joined,
     "confusion_matrix": lambda s, d: M.confusion_matrix(_joined(s, d), by=["script_type"]),
     "class_scores": _class_scores,
@@ -117,7 +136,22 @@ def _sql_scores(by: str) -> str:
 _MACRO = """round(sum(tp) / sum(support)::DOUBLE, 9) AS accuracy, round(avg(precision), 9) AS precision, round(avg(recall), 9) AS recall,
     round(avg(f1), 9) AS f1, sum(support)::BIGINT AS total, count(*) AS num_classes FROM f"""
 
+def _sql_unknown(score: str, mode: str) -> str:
+    value = {"prob": "any_value(vec_id % 100 / 100.0::DOUBLE)", "sim1": "max(k)", "sim5": "avg(k) FILTER (WHERE rk <= 5)"}[score]
+    kept = "''" if mode == "drop" else "'?'"
+    return with_views(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY k DESC, sv_id) AS rk FROM v_kernel),
+        f AS (SELECT vec_id, vec_id // {WORD_LETTERS} AS word_id, chr((any_value(label) + 97)::INTEGER) AS c, round({value}, 9) AS fam FROM r GROUP BY vec_id),
+        w AS (SELECT word_id, string_agg(c, '' ORDER BY vec_id) AS word FROM f GROUP BY 1),
+        d AS (SELECT DISTINCT word FROM w WHERE word_id % 5 = 0 AND length(word) > 1),
+        x AS (SELECT f.*, word, fam < {THRESHOLD} AND word NOT IN (SELECT word FROM d) AS bad FROM f JOIN w USING (word_id)),
+        o AS (SELECT word_id, word, string_agg(CASE WHEN bad THEN {kept} ELSE c END, '' ORDER BY vec_id) AS word_out, count(*) FILTER (WHERE bad) AS n_rejected FROM x GROUP BY 1, 2)
+        SELECT *, {"'known'" if mode == "drop" else "CASE WHEN n_rejected > 0 THEN 'unknown_letters' ELSE 'known' END"} AS status FROM o {"WHERE word_out <> ''" if mode == "drop" else ""}""", "v_kernel")
+
+
 ORACLES = {
+    "unknown_letter_words_drop": _sql_unknown("sim5", "drop"),
+    "unknown_letter_words_mark": _sql_unknown("sim1", "mark"),
+    "unknown_letter_words_prob": _sql_unknown("prob", "mark"),
     "kernel_similarity": with_views("SELECT vec_id, class, count(*) AS n, round(sum(k), 8) AS k_sum, round(max(k), 9) AS k_max FROM v_kernel GROUP BY ALL", "v_kernel"),
     "pair_decisions": with_views(f"""WITH {_PAIRS} SELECT vec_id, pair_id, i, j, round(decision, 8) + 0.0 AS decision,
         round(1 / (1 + exp(decision * -2.0 + 0.1)), 8) AS probability FROM dv""", "v_kernel", "v_sv"),

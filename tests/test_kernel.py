@@ -103,3 +103,18 @@ def test_familiarity_is_best_or_mean_of_five(data):
     for score, want in (("sim1", top[:, 0]), ("sim5", top[:, :5].mean(axis=1))):
         got = {r["vec_id"]: r["familiarity"] for r in K.familiarity(vecs, sv, GAMMA, score).collect()}
         assert np.allclose([got[i] for i in range(len(want))], want, atol=1e-9)
+
+
+@pytest.mark.parametrize("mode,want", [
+    ("drop", {1: ("abc", 0, "known"), 2: ("a", 2, "known"), 4: ("q", 0, "known")}),
+    ("mark", {1: ("abc", 0, "known"), 2: ("a??", 2, "unknown_letters"), 3: ("??", 2, "unknown_letters"), 4: ("q", 0, "known"), 5: ("?", 1, "unknown_letters")}),
+])
+def test_letters_of_words(spark, mode, want):
+    """A dictionary word keeps all letters; a word of one letter is no such word; null familiarity rejects nothing."""
+    rows = [(1, 0, "a", .1), (1, 1, "b", .9), (1, 2, "c", .1), (2, 0, "a", .9), (2, 1, "b", .1), (2, 2, "x", .1), (3, 1, "y", .2), (3, 0, "x", .2), (4, 0, "q", None), (5, 0, "o", .1)]
+    letters = spark.createDataFrame(rows, "w int, pos int, char string, familiarity double")
+    known = spark.createDataFrame([("abc",), ("o",)], "word string")
+    got = {r["w"]: (r["word_out"], r["n_rejected"], r["status"]) for r in K.reject_in_words(letters, ["w"], known, 0.5, mode).collect()}
+    assert got == want
+    free = K.reject_in_words(letters, ["w"], None, None, mode).collect()
+    assert len(free) == 5 and not any(r["n_rejected"] for r in free)
