@@ -21,6 +21,8 @@ GAP = "▁"
 NONE = -(10**37)
 #: distinct units kept per worker; the ones not met since the last turn are forgotten
 MOST_WORDS = 120_000
+#: characters of a unit that is segmented together with others
+SHORT_UNIT = 32
 
 
 class Pieces:
@@ -64,6 +66,80 @@ class Pieces:
         self.units = not any(GAP in p.lstrip(GAP) for p in self.weight)
         self.known: dict[int, bytes] = {}
         self.older: dict[int, bytes] = {}
+        self._arrays()
+
+    def _arrays(self) -> None:
+        """The tree as sorted arrays: ``edge`` (node and character), the node it leads to, and each node's weight and piece (-1: none)."""
+        letters = np.unique(np.array([ord(c) for p in self.weight for c in p], np.int64))
+        self.letter = np.zeros(0x110000, np.int32)
+        self.letter[letters] = np.arange(1, len(letters) + 1)
+        self.letters = len(letters) + 1
+        edges, weight, piece, todo = [], [0], [-1], [(0, self.root)]
+        for number, nodes in todo:
+            for c, (below, w, i) in nodes.items():
+                edges.append((number * self.letters + int(self.letter[ord(c)]), len(weight)))
+                todo.append((len(weight), below))
+                weight.append(w or 0)
+                piece.append(-1 if w is None else i)
+        self.edge, self.child = np.array(sorted(edges), np.int64).T.copy()
+        self.node_weight, self.node_piece = np.array(weight, np.int64), np.array(piece, np.int64)
+
+    def units_at_once(self, code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Best pieces of many short units: ids, their offsets, and which units are plain.
+
+        The tree is walked from all characters together; the best scores are
+        then taken by distance from the unit's end. Units with a character
+        that begins no piece, or two ways that score alike, are not plain.
+        """
+        size = ends - starts
+        at = np.concatenate([[0], np.cumsum(size)])
+        unit = np.repeat(np.arange(len(size)), size)
+        place = np.arange(at[-1]) - at[unit]
+        left = size[unit] - place  # characters to the unit's end
+        letter = self.letter[code[starts[unit] + place]].astype(np.int64)
+        node, live, found = np.zeros(at[-1], np.int64), np.arange(at[-1]), []
+        for depth in range(int(size.max())):
+            live = live[left[live] > depth]
+            want = node[live] * self.letters + letter[live + depth]
+            spot = np.minimum(np.searchsorted(self.edge, want), len(self.edge) - 1)
+            hit = self.edge[spot] == want
+            live = live[hit]
+            if not len(live):
+                break
+            node[live] = self.child[spot[hit]]
+            whole = live[self.node_piece[node[live]] >= 0]
+            found.append((whole, node[whole], np.full(len(whole), depth + 1)))
+        begin, to, long = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+        plain = np.ones(len(size), bool)
+        some = np.zeros(at[-1], bool)
+        some[begin] = True
+        plain[unit[~some]] = False
+        keep = plain[unit[begin]]
+        begin, to, long = begin[keep], to[keep], long[keep]
+        order = np.lexsort((begin, left[begin]))
+        begin, to, long = begin[order], to[order], long[order]
+        best = np.zeros(at[-1] + 1, np.int64)
+        step, piece = np.zeros(at[-1], np.int64), np.zeros(at[-1], np.int64)
+        bounds = np.searchsorted(left[begin], np.arange(1, int(size.max()) + 2))
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            if lo == hi:
+                continue
+            own, reach, last = begin[lo:hi], long[lo:hi], left[begin[lo]]
+            score = self.node_weight[to[lo:hi]] + np.where(reach < last, best[own + reach], 0)
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            top = np.maximum.reduceat(score, first)
+            is_top = score == np.repeat(top, np.diff(np.append(first, hi - lo)))
+            plain[unit[own[first[np.add.reduceat(is_top, first) > 1]]]] = False
+            best[own[first]] = top
+            step[own[is_top]], piece[own[is_top]] = reach[is_top], self.node_piece[to[lo:hi][is_top]]
+        now, rows, ids = at[:-1][plain & (size > 0)], [], []
+        while len(now):
+            rows.append(unit[now])
+            ids.append(piece[now])
+            now = now[step[now] < left[now]] + step[now][step[now] < left[now]]
+        row, out = (np.concatenate(rows), np.concatenate(ids)) if rows else (np.zeros(0, np.int64),) * 2
+        order = np.argsort(row, kind="stable")
+        return out[order].astype(np.int32), np.searchsorted(row[order], np.arange(len(size) + 1)), plain
 
     def backward(self, text: str, n: int, end: int, lead: int = 0) -> tuple[list[int | None], list[int], list[int]]:
         """Best score from each position to ``end`` with pieces that start before ``n``, its tie-break, and where the first piece ends.
@@ -157,16 +233,29 @@ class Pieces:
         units, first, which = np.unique(span_hashes(value, starts, ends), return_index=True, return_inverse=True)
         if len(self.known) > MOST_WORDS:
             self.known, self.older = {}, self.known
-        ids = []
-        for h, f in zip(units.tolist(), first.tolist()):
+        ids, names = [], units.tolist()
+        for h in names:
             got = self.known.get(h)
             if got is None:
                 got = self.older.get(h)
-                if got is None:
-                    got = np.array(self.unit(text[starts[f] : ends[f]]), np.int32).tobytes()
-                if ends[f] - starts[f] <= 64:
+                if got is not None:
                     self.known[h] = got
             ids.append(got)
+        new = np.array([k for k, got in enumerate(ids) if got is None], np.int64)
+        size = (ends - starts)[first[new]]
+        short = new[size <= SHORT_UNIT]
+        if len(short):
+            flat, spot, plain = self.units_at_once(code, starts[first[short]], ends[first[short]])
+            raw = flat.tobytes()
+            for k, a, b, ok in zip(short.tolist(), (spot[:-1] * 4).tolist(), (spot[1:] * 4).tolist(), plain.tolist()):
+                if ok:
+                    ids[k] = raw[a:b]
+        for k, n in zip(new.tolist(), size.tolist()):
+            if ids[k] is None:
+                f = first[k]
+                ids[k] = np.array(self.unit(text[starts[f] : ends[f]]), np.int32).tobytes()
+            if n <= 64:
+                self.known[names[k]] = ids[k]
         sizes = np.array([len(x) // 4 for x in ids])
         flat, base = np.frombuffer(b"".join(ids), np.int32), np.concatenate([[0], np.cumsum(sizes)])
         n = sizes[which]
