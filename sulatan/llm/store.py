@@ -45,11 +45,12 @@ def docs_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 FILTER_BITS = 1 << 22
 
 
-def texts_in(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def texts_in(docs: DataFrame, wanted: DataFrame, then=None, schema: str = "doc_id long, text string") -> DataFrame:
     """``(doc_id, text)`` rows that may be in ``wanted(doc_id)``; a join follows.
 
     A bit table of fixed size, whatever the number of ids, keeps most other
-    texts out of the join's shuffle.
+    texts out of the join's shuffle. ``then`` takes the batches that are left
+    in the same worker and gives those of ``schema``.
     """
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     bits = wanted.select(spot.alias("s")).select((F.col("s") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(s % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
@@ -63,7 +64,10 @@ def texts_in(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.select([0, 1]).filter(pa.array(on[batch.column(2).to_numpy()]))
 
-    return docs.select("doc_id", "text", spot.alias("s")).mapInArrow(keep, "doc_id long, text string")
+    def run(batches):
+        yield from then(keep(batches)) if then else keep(batches)
+
+    return docs.select("doc_id", "text", spot.alias("s")).mapInArrow(run, schema)
 
 
 def held_out() -> "F.Column":
