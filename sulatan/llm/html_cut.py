@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from functools import lru_cache
 
 import pyarrow as pa
@@ -29,8 +29,13 @@ LOOSE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 BREAKS = "|".join(sorted(BLOCKS - {"hr"}))
 SPACE = re.compile(r"\s+")
-#: a badly named part with this share of the page's own words is the page
-WHOLE = 0.9
+COMMENTS = re.compile(r"(?:^|[^a-z])(?:comment\w*|disqus|replies|reply|respond|reader\w*)(?![a-z])", re.I)
+#: an article of this name is a comment
+ONE_COMMENT = re.compile(r"(?:[a-z]+-)?(?:comment|reply)s?(?:-?item|-?body|-?\d+)?", re.I)
+#: containers that can be the main part of a page without an article
+WRAPPERS = frozenset("body center div dl html section table tbody td tr".split())
+#: an end tag of these closes nothing outside the article or main element it stands in
+SCOPED, SCOPES = frozenset("p li div span".split()), frozenset("article main body".split())
 #: smoothness of neighbours in page order, and of siblings in one container
 NEXT, SIBLING = 0.4, 0.6
 
@@ -38,34 +43,42 @@ NEXT, SIBLING = 0.4, 0.6
 class Part:
     """An open container: why it may be boilerplate, and what it holds."""
 
-    __slots__ = ("up", "never", "bad", "header", "article", "good", "own", "paragraphs", "holds", "standing")
+    __slots__ = ("up", "name", "never", "bad", "header", "remarks", "article", "good", "clean", "held", "standing")
 
     def __init__(self, up: "Part | None", name: str = "", attributes: str = "") -> None:
         found = {k.lower(): a or b or c for k, a, b, c in reversed(ATTRIBUTE.findall(attributes))}
-        hints = " ".join(t for k in ("class", "id", "role") for t in found.get(k, "").split() if not OTHERS.match(t))
+        hints = [t for k in ("class", "id", "role") for t in found.get(k, "").split() if not OTHERS.match(t)]
+        if any(GOOD.fullmatch(t) for t in hints):  # "text search-tips" is a text: only whole names count against it
+            hints = [t for t in hints if BAD.fullmatch(t) or not BAD.search(t)]
         page = name in ("html", "body")
         hidden = "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true" or bool(NO_DISPLAY.search(found.get("style", "")))
-        named = bool(BAD.search(hints))
-        self.up, self.header = up, name == "header"
+        whole = name in ("article", "main")
+        named = bool(BAD.search(" ".join(hints)))
+        self.up, self.name, self.header = up, name, name == "header"
         #: hidden, or an element that is never content
         self.never = (hidden and not page) or name in AWAY - {"form"}
-        self.bad = name == "form" or (named and not page and name not in ("article", "main"))
-        self.article = name in ("article", "main")
+        comment = name == "article" and any(ONE_COMMENT.fullmatch(t) for t in hints)
+        self.bad = name == "form" or comment or (named and not page and not whole)
+        self.remarks = comment or (not whole and not page and bool(COMMENTS.search(" ".join(hints))))
+        self.article = whole and not comment
         self.good = name in ("div", "section") and bool(GOOD.search(" ".join(found.get(k, "") for k in ("class", "id", "role"))))
-        self.own, self.paragraphs, self.standing = 0, 0, (False, False)
-        #: 2 if a main element is inside, 1 if an article that is not named badly is
-        self.holds = 2 if name == "main" else int(name == "article" and not named)
+        self.clean, self.standing = 0, (False, False, False)
+        #: main elements, articles without a bad name, containers named as content, paragraphs inside
+        self.held = [int(name == "main"), int(name == "article" and not named), int(self.good and not named), 0]
 
-    def settle(self, words: int) -> None:
-        """``standing``: boilerplate by its containers, and inside the article.
+    def settle(self, page: list[int], chosen: bool = False) -> None:
+        """``standing``: boilerplate by its containers, inside the main part, inside an article or main element.
 
-        A bad name does not count on what holds the main element, an article
-        and most words of the page, or nearly all its words.
+        A bad name does not count on what holds a main element or all of the
+        ``page``'s articles, or else all its parts named as content, or else
+        all its paragraphs, two at least; whatever the shares of the text.
+        Reader comments are never taken for the page, but for a main element.
         """
-        away, inside = self.up.standing if self.up else (False, False)
-        whole = self.holds == 2 or (self.holds and 2 * self.own > words) or (self.paragraphs > 1 and self.own >= WHOLE * words)
+        away, inside, proper = self.up.standing if self.up else (False, False, False)
+        kinds = [k for k in (1, 2, 3) if page[k] > (k == 3)][:1]
+        whole = self.held[0] > 0 or (not self.remarks and any(self.held[k] == page[k] for k in kinds))
         away |= self.never or ((self.bad or (self.header and not inside)) and not whole)
-        self.standing = away, inside or self.article or (not away and self.good)
+        self.standing = away, inside or self.article or chosen or (not away and self.good), proper or self.article
 
 
 class Block:
@@ -93,8 +106,19 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts = [Part(None)]
     stack: list[tuple[str, int, Part]] = [("", 0, parts[0])]  # name, box, container
+    opened: list[Counter] = [Counter()]  # names open in each article or main element
+    every: Counter = Counter()
+    endless: set[str] = set()
     boxes, links, at, pattern, now = 1, 0, 0, TAG, None
 
+    def leave() -> str:
+        name = stack.pop()[0]
+        every[name] -= 1
+        if name in SCOPES:
+            opened.pop()
+        opened[-1][name] -= 1
+        return name
+
     def add(raw: str) -> None:
         nonlocal now
         if not raw:
@@ -131,16 +155,15 @@ def blocks(page: str) -> list[Block]:
                 links = max(0, links - 1)
             elif name in BLOCKS or name in AWAY:
                 now = None
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
-                    if stack[k][0] in ("article", "main", "body") and name in ("p", "li", "div", "span"):
-                        break
+                if (opened[-1] if name in SCOPED else every)[name] > 0:
+                    while leave() != name:
+                        pass
             continue
         if name in RAW:
             if not m[3].endswith("/"):
-                end = _end(name, name in ENDED).search(page, at)
+                end = None if name in endless else _end(name, name in ENDED).search(page, at)
+                if end is None:
+                    endless.add(name)
                 if end and page[end.start() + 1] != "/":
                     at = end.start()
                 elif end or name in TO_END:
@@ -154,35 +177,58 @@ def blocks(page: str) -> list[Block]:
         elif name in BLOCKS or name in AWAY:
             now, links = None, 0
             if name in BLOCKS - {"html", "body"} and stack[-1][0] in HEADINGS | {"p"}:
-                stack.pop()
+                leave()
             if name == "li" and stack[-1][0] == "li":
-                stack.pop()
+                leave()
             if name == "hr" or m[3].endswith("/"):
                 continue
             parts.append(Part(stack[-1][2], name, m[3]))
             box = stack[-1][1] if name in HEADINGS | {"p", "li", "dt", "dd", "td", "th", "tr", "tbody", "pre"} else boxes
             boxes += 1
             stack.append((name, box, parts[-1]))
+            every[name] += 1
+            opened[-1][name] += 1
+            if name in SCOPES:
+                opened.append(Counter())
     for b in out:
         b.text = SPACE.sub(" ", html.unescape("".join(b.parts))).strip()
-        b.part.own += max(0, sum(map(len, b.parts)) - b.linked)
-        b.part.paragraphs += b.tag == "p"
+        b.part.held[3] += b.tag == "p" and bool(b.text)
     for part in reversed(parts):
         if part.up and not part.never:
-            part.up.own += part.own
-            part.up.paragraphs += part.paragraphs
-            part.up.holds = max(part.up.holds, part.holds)
+            part.up.held = [x + y for x, y in zip(part.up.held, part.held[:1] if part.remarks else part.held)] + (part.up.held[1:] if part.remarks else [])
     for part in parts:
-        part.settle(parts[0].own)
+        part.settle(parts[0].held)
+    if not any(inside and not away for away, inside, _ in (b.part.standing for b in out if b.text)):
+        main = _main_part(parts, out)
+        for part in parts:
+            part.settle(parts[0].held, part is main)
     return [b for b in out if b.text]
 
 
+def _main_part(parts: list[Part], found: list[Block]) -> Part:
+    """The smallest container with most of the text, but for boilerplate and links, down from the page."""
+    for b in found:
+        if not b.part.standing[0]:
+            b.part.clean += max(0, sum(map(len, b.parts)) - b.linked)
+    largest: dict[int, Part] = {}
+    for part in reversed(parts):
+        if part.up:
+            part.up.clean += part.clean
+            best = largest.get(id(part.up))
+            if part.name in WRAPPERS and (best is None or part.clean >= best.clean):
+                largest[id(part.up)] = part
+    main = parts[0]
+    while (part := largest.get(id(main))) is not None and 2 * part.clean > main.clean:
+        main = part
+    return main
+
+
 def leaning(b: Block) -> float:
-    """Log-odds of content over boilerplate from a block alone."""
-    away, inside = b.part.standing
+    """Log-odds of content over boilerplate from a block alone; links count little inside an article."""
+    away, inside, proper = b.part.standing
     words = b.text.count(" ") + 1
     linked = min(1.0, b.linked / max(1, sum(map(len, b.parts))))
-    score = -1.2 + min(words, 40) / 12 - 3.5 * linked
+    score = -1.2 + min(words, 40) / 12 - (0.5 if proper else 3.5) * linked
     score += 3.0 if inside else 0.0
     score -= 7.0 if away else 0.0
     score += 0.7 if b.tag in HEADINGS else 0.5 if b.tag in ("p", "blockquote", "pre") else -0.5 if b.tag in ("li", "td", "th") else 0.0
