@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sulatan.llm.learn import logistic, logistic_score
-from sulatan.llm.store import docs_of, held_out, labelled, save
+from sulatan.llm.store import bounded, docs_of, held_out, labelled, save
 from sulatan.llm.words import NON_WORD, Words, mix, words
 
 #: absolute discount; words of a passage
@@ -17,6 +17,12 @@ DISCOUNT, PASSAGE = 0.75, 4
 LEAST_REST = 1e-3
 #: bytes of the texts that look up their counts together
 BLOCK_BYTES = 8 << 20
+#: keys of a block that are asked for at once
+AT_ONCE = 1 << 21
+#: bits of the table that tells which keys the model may have
+MODEL_BITS = 1 << 26
+#: of a word: lower-order probability, share left to it as a context, and its pairs' count, in the toxic and the other class
+VALUES = ("v_1", "v_0", "left_1", "left_0", "size_1", "size_0")
 #: labelled texts, at most, that fit the final scale
 CALIBRATION_TEXTS = 20_000
 
@@ -45,38 +51,34 @@ def _find(known: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(known[spot] == values, spot, len(known))
 
 
-def _text_counts(pairs: bool):
-    """Texts per word (or pair) and class, summed per batch; pairs carry their first word."""
-
-    def run(batches):
-        for batch in batches:
-            label = batch.column(1).to_numpy()
-            keys, sides, before = [], [], []
-            for w in words(batch.column(0), NON_WORD):
-                values, first = _pairs(w) if pairs else (w.hashes, w.hashes)
-                got, row = _per_text(values, w.rows())
-                known, at = np.unique(values, return_index=True)
-                keys.append(got)
-                sides.append(label[w.lo + row])
-                before.append(first[at[_find(known, got)]])
-            if not keys:
-                continue
-            key, side, first = np.concatenate(keys), np.concatenate(sides), np.concatenate(before)
-            uniq, at, which = np.unique(key, return_index=True, return_inverse=True)
-            toxic = np.bincount(which, weights=side, minlength=len(uniq)).astype(np.int64)
-            every = np.bincount(which, minlength=len(uniq)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(uniq.view(np.int64)), pa.array(first[at].view(np.int64)), pa.array(toxic), pa.array(every - toxic)], ["key", "before", "toxic", "other"])
-
-    return run
-
-
-def _all_counts(batches):
-    """Texts per word, summed per batch."""
+def _text_counts(batches):
+    """Texts per pair and class, summed per batch, with the pair's first word."""
+    for batch in batches:
+        label = batch.column(1).to_numpy()
+        keys, sides, before = [], [], []
+        for w in words(batch.column(0), NON_WORD):
+            values, first = _pairs(w)
+            got, row = _per_text(values, w.rows())
+            known, at = np.unique(values, return_index=True)
+            keys.append(got)
+            sides.append(label[w.lo + row])
+            before.append(first[at[_find(known, got)]])
+        if not keys:
+            continue
+        key, side, first = np.concatenate(keys), np.concatenate(sides), np.concatenate(before)
+        uniq, at, which = np.unique(key, return_index=True, return_inverse=True)
+        toxic = np.bincount(which, weights=side, minlength=len(uniq)).astype(np.int64)
+        every = np.bincount(which, minlength=len(uniq)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(uniq.view(np.int64)), pa.array(first[at].view(np.int64)), pa.array(toxic), pa.array(every - toxic)], ["key", "before", "toxic", "other"])
+
+
+def _continuations(batches):
+    """Distinct words before each word, in both classes together and in each, summed per batch."""
     for batch in batches:
-        got = [_per_text(w.hashes, w.rows())[0] for w in words(batch.column(0), NON_WORD)]
-        if got:
-            key, n = np.unique(np.concatenate(got), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+        key, before, n_1, n_0 = (c.to_numpy() for c in batch.columns)
+        word, which = np.unique(_second(key.view(np.uint64), before.view(np.uint64)), return_inverse=True)
+        sums = (np.bincount(which, weights=x, minlength=len(word)).astype(np.int64) for x in (np.ones(len(key)), n_1 > 0, n_0 > 0))
+        yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), *map(pa.array, sums)], ["key", "n", "n_1", "n_0"])
 
 
 def _features(ratio: np.ndarray, w: Words) -> np.ndarray:
@@ -93,13 +95,51 @@ def _features(ratio: np.ndarray, w: Words) -> np.ndarray:
     return np.column_stack([mean, np.where(n > 0, best, 0.0), np.log1p(strong), strong / np.maximum(n, 1), np.log1p(n)])
 
 
-def _wanted(table: pa.Table) -> pa.Table:
-    """Every word and pair of a block's texts, once."""
-    found = [np.zeros(1, np.uint64)]
-    for w in words(_column(table, "text"), NON_WORD):
-        found += [np.unique(w.hashes), np.unique(_pairs(w)[0])]
-    key = np.unique(np.concatenate(found)).view(np.int64)
-    return pa.table({"block": np.full(len(key), table.column("block")[0].as_py()), "key": key})
+def _wanted(bits):
+    """Every word and pair of the texts that the model may have, about once per block: rows come by block."""
+
+    def once(found: list[np.ndarray]) -> pa.RecordBatch:
+        of, key = np.concatenate(found, axis=1)
+        order = np.lexsort((key, of))
+        of, key = of[order], key[order]
+        first = np.ones(len(key), bool)
+        first[1:] = (of[1:] != of[:-1]) | (key[1:] != key[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(of[first].view(np.int64)), pa.array(key[first].view(np.int64))], ["block", "key"])
+
+    def run(batches):
+        for batch in batches:
+            block, found, n = batch.column(0).to_numpy(), [], 0
+            for w in words(batch.column(2), NON_WORD):
+                every = block[w.lo : w.hi]
+                found.append(np.stack([every.view(np.uint64), np.zeros(len(every), np.uint64)]))  # 0: a text's start
+                of = every[w.rows()]
+                for key in (w.hashes, _pairs(w)[0]):
+                    spot = _spots(key)
+                    hit = bits.value[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8) & 1 > 0
+                    found.append(np.stack([of[hit].view(np.uint64), key[hit]]))
+                    n += len(found[-1][0])
+                if n > AT_ONCE:
+                    yield once(found)
+                    found, n = [], 0
+            if found:
+                yield once(found)
+
+    return run
+
+
+def _spots(key: np.ndarray) -> np.ndarray:
+    """Bit of each key, the same as `_bit_table` takes."""
+    return (key & np.uint64(MODEL_BITS - 1)).astype(np.int64)
+
+
+def _bit_table(model: DataFrame) -> np.ndarray:
+    """Which keys the model may have, in a fixed number of bits: a fuller table only lets more through."""
+    spot = F.col("key").bitwiseAND(F.lit(MODEL_BITS - 1))
+    rows = model.select(F.shiftright(spot, 6).alias("w"), F.expr(f"shiftleft(1L, cast((key & {MODEL_BITS - 1}) % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    got = bounded(rows, MODEL_BITS // 64)
+    table = np.zeros(MODEL_BITS // 64, np.int64)
+    table[got["w"].astype(np.int64)] = got["b"].astype(np.int64)
+    return np.packbits(np.unpackbits(table.view(np.uint8), bitorder="little"))
 
 
 def _column(table: pa.Table, name: str) -> pa.Array:
@@ -115,8 +155,11 @@ def _scorer(rest: tuple[float, float]):
             return pa.table({"doc_id": pa.array([], pa.int64()), "x": pa.array([], pa.list_(pa.float64()))})
         key = found.column("key").to_numpy().view(np.uint64)
         order = np.argsort(key)
-        of_word = found.column("is_word").to_numpy()[order]
-        x = {c: found.column(c).to_numpy()[order].astype(float) for c in ("v_1", "v_0", "left_1", "left_0", "size_1", "size_0")}
+        of_word = found.column("x").is_valid().to_numpy()[order]
+        packed = found.column("n").to_numpy()[order][~of_word]
+        pairs_of = (packed & 0xFFFFFFFF, packed >> 32)
+        lists = found.column("x").take(pa.array(order[of_word])).combine_chunks()
+        x = dict(zip(VALUES, lists.flatten().to_numpy().reshape(-1, len(VALUES)).T))
         word, pair = key[order][of_word], key[order][~of_word]
         out = []
         for w in words(_column(texts, "text"), NON_WORD):
@@ -125,9 +168,9 @@ def _scorer(rest: tuple[float, float]):
             ratio = np.zeros(len(two))
             for k, sign in ((1, 1), (0, -1)):
                 # a word of no labelled text has the share ``q`` of both classes, which cancels
-                p = np.append(x[f"v_{k}"][of_word], rest[k])[own]
-                left, size = np.append(x[f"left_{k}"][of_word], 1.0)[context], np.append(x[f"size_{k}"][of_word], 1.0)[context]
-                n = np.append(x[f"v_{k}"][~of_word], 0.0)[both]
+                p = np.append(x[f"v_{k}"], rest[k])[own]
+                left, size = np.append(x[f"left_{k}"], 1.0)[context], np.append(x[f"size_{k}"], 1.0)[context]
+                n = np.append(pairs_of[k], 0)[both]
                 ratio += sign * np.log(np.maximum(n - DISCOUNT, 0) / size + left * p)
             out += list(_features(ratio, w))
         return pa.table({"doc_id": texts.column("doc_id"), "x": pa.array(out, pa.list_(pa.float64()))})
@@ -135,49 +178,54 @@ def _scorer(rest: tuple[float, float]):
     return run
 
 
-def fit_counts(docs: DataFrame, train: DataFrame) -> tuple[DataFrame, tuple[float, float]]:
-    """Both models from ``train(text, label)``, with shared counts from all of ``docs``, as a table; and what each class keeps for unseen words.
+def fit_counts(train: DataFrame) -> tuple[DataFrame, tuple[float, float]]:
+    """Kneser-Ney models of both classes from ``train(text, label)``, as a table; and what each class keeps for unseen words.
+
+    ``p(w|u) = max(c(u,w) - D, 0) / c(u) + rest(u) p(w)`` in each class, with
+    the class's continuation counts as the lower order: ``p(w) = max(N(w) -
+    D, 0) / N + rest q(w)``, ``N(w)`` being the distinct words before w and N
+    the distinct pairs. ``q`` is the share of continuations in both classes
+    together, so what a class has not seen says nothing. ``c`` counts texts:
+    a repeated line or phrase counts once per text.
 
-    Counts are of texts, so a repeated line or phrase counts once per text.
-    ``p(w|u) = max(c(u,w) - D, 0) / c(u) + rest(u) p(w)`` and
-    ``p(w) = max(c(w) - D, 0) / c + rest q(w)``, with ``q`` from all texts and
-    the same in both classes: what a class has not seen says nothing. Every
-    word and pair of a labelled text is a row: a word (and 0, a text's start)
-    has ``p`` as ``v``, ``rest`` as ``left`` and ``c`` as ``size``, a pair has
-    its counts as ``v``; ``_1`` is the toxic class.
+    Every pair of a labelled text is a row with its counts packed in ``n``
+    (toxic in the upper half), every word (and 0, a text's start) one with
+    `VALUES` in ``x``.
     """
-    counts = lambda pairs: train.select("text", "label").mapInArrow(_text_counts(pairs), "key long, before long, toxic long, other long").groupBy("key").agg(F.min("before").alias("before"), F.sum("toxic").alias("n_1"), F.sum("other").alias("n_0"))
-    word, pair = save(counts(False).drop("before"), "toxic_words"), save(counts(True), "toxic_pairs")
-    every = save(docs.select("text").mapInArrow(_all_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "all_words")
-    total = every.agg(F.sum("n")).first()[0] or 1
-    sums = word.agg(*(f(k).alias(f"{name}_{k}") for k in (0, 1) for name, f in (("all", lambda k: F.sum(f"n_{k}")), ("kinds", lambda k: F.count_if(F.col(f"n_{k}") > 0))))).first()
+    pair = save(train.select("text", "label").mapInArrow(_text_counts, "key long, before long, toxic long, other long").groupBy("key").agg(F.min("before").alias("before"), F.sum("toxic").alias("n_1"), F.sum("other").alias("n_0")), "toxic_pairs")
+    word = pair.mapInArrow(_continuations, "key long, n long, n_1 long, n_0 long").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("n", "n_1", "n_0")))
+    word = save(word, "toxic_words")
+    sums = word.agg(F.sum("n").alias("n"), *(f(k).alias(f"{name}_{k}") for k in (0, 1) for name, f in (("all", lambda k: F.sum(f"n_{k}")), ("kinds", lambda k: F.count_if(F.col(f"n_{k}") > 0))))).first()
+    total = sums["n"] or 1
     size = [max(sums[f"all_{k}"] or 0, 1) for k in (0, 1)]
     rest = tuple(max(DISCOUNT * sums[f"kinds_{k}"] / size[k], LEAST_REST) for k in (0, 1))
 
     over = lambda k: F.greatest(F.col(f"n_{k}") - DISCOUNT, F.lit(0.0))
     context = pair.groupBy(F.col("before").alias("key")).agg(*(f for k in (0, 1) for f in (F.sum(f"n_{k}").alias(f"sum_{k}"), F.sum(over(k)).alias(f"over_{k}"))))
-    both = word.join(every, "key", "left").join(context, "key", "full").na.fill(0)
+    both = word.join(context, "key", "full").na.fill(0)
     for k in (0, 1):
-        both = both.withColumn(f"size_{k}", F.greatest(f"n_{k}", f"sum_{k}") + 1)
-        both = both.withColumn(f"left_{k}", F.greatest(1 - F.col(f"over_{k}") / F.col(f"size_{k}"), F.lit(LEAST_REST)))
+        seen = F.col(f"sum_{k}") > 0
+        both = both.withColumn(f"size_{k}", F.greatest(F.col(f"sum_{k}"), F.lit(1)))
+        both = both.withColumn(f"left_{k}", F.when(seen, F.greatest(1 - F.col(f"over_{k}") / F.col(f"size_{k}"), F.lit(LEAST_REST))).otherwise(1.0))
         both = both.withColumn(f"v_{k}", over(k) / size[k] + rest[k] * F.col("n") / total)
-    values = ("v_1", "v_0", "left_1", "left_0", "size_1", "size_0")
-    of_words = both.select("key", F.lit(True).alias("is_word"), *(F.col(c).cast("double").alias(c) for c in values))
-    of_pairs = pair.select("key", F.lit(False).alias("is_word"), *(F.col("n" + c[1:]).cast("double").alias(c) if c[0] == "v" else F.lit(None).cast("double").alias(c) for c in values))
+    of_words = both.select("key", F.lit(0).cast("long").alias("n"), F.array(*(F.col(c).cast("double") for c in VALUES)).alias("x"))
+    of_pairs = pair.select("key", (F.shiftleft("n_1", 32) + F.col("n_0")).alias("n"), F.lit(None).cast("array<double>").alias("x"))
     return of_words.union(of_pairs), rest
 
 
 def text_features(docs: DataFrame, model: DataFrame, rest: tuple[float, float]) -> DataFrame:
     """``(doc_id, x)`` of every row.
 
-    Texts are dealt to blocks by id; a block asks for its words and pairs once
-    and gets those that the model has. The model is never in one place.
+    Texts are dealt to blocks by id and text; a block asks for those of its
+    words and pairs that the model may have. The model is never in one place.
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(size // BLOCK_BYTES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    placed = docs.withColumn("block", F.pmod(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("text")), F.lit(blocks)))
-    wanted = placed.groupBy("block").applyInArrow(_wanted, "block long, key long")
+    # dealt once, for the questions and for the scores
+    placed = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), "doc_id", "text").repartition("block").sortWithinPartitions("block")
+    bits = spark.sparkContext.broadcast(_bit_table(model))
+    wanted = placed.mapInArrow(_wanted(bits), "block long, key long")
     found = wanted.join(model.hint("merge"), "key")
     return placed.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_scorer(rest), "doc_id long, x array<double>")
 
@@ -210,7 +258,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     docs = docs_of(docs, id_col, text_col)
     spark = docs.sparkSession
     rows = save(labelled(docs, labels, "toxic"), "toxic_train").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)))
-    rated = save(text_features(docs, *fit_counts(docs, rows.where("part > 0"))), "toxic_features")
+    rated = save(text_features(docs, *fit_counts(rows.where("part > 0"))), "toxic_features")
 
     part = rows.where("part = 0").select("doc_id", "label").distinct()
     keep = CALIBRATION_TEXTS / max(part.count(), 1)

@@ -4,6 +4,8 @@ import datetime
 import itertools
 import os
 import random
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -50,6 +52,29 @@ def test_main_text_of_wrapped_pages():
     assert html_cut.main_text(f"<svg><text>no</text></svg><article>{body}</article>") == want
 
 
+def test_main_text_by_structure():
+    article = "<h1>Head line</h1><p>The article is this sentence.</p>"
+    want = "Head line\nThe article is this sentence."
+    remark = "<p>Reader said that this was a very long and interesting article for everybody here.</p>"
+    for n in (1, 3, 40):
+        listed = "".join(f'<div class="comment">{remark}</div>' for _ in range(n))
+        for comments in (f'<section class="comments"><h3>Comments</h3>{listed}</section>', f'<div id="comments">{remark * n}</div>', f'<section class="comments"><article id="c1">{remark}</article></section>'):
+            for page in (f"<article>{article}</article>{comments}", f"<article>{article}{comments}</article>", f"<main>{article}</main>{comments}", f"<div>{article}{comments}</div>"):
+                assert html_cut.main_text(page) == want, page[:300]
+        assert html_cut.main_text(f"<main>{article}{f'<article class=comment>{remark}</article>' * n}</main>") == want
+    short = "<body><nav><a href=x>Home</a></nav><div><h1>Head line</h1><p>Five words are here now.</p></div><footer>Rights</footer></body>"
+    assert html_cut.main_text(short) == html_cut.main_text("<body><div><h1>Head line</h1><p>Five words are here now.</p></div></body>") == "Head line\nFive words are here now."
+    assert html_cut.main_text(f"<article>{article}<ul><li><a href=a>First one</a><li><a href=b>Second one</a></ul></article>") == f"{want}\nFirst one\nSecond one"
+    assert html_cut.main_text(f'<article>{article}<div class="text search-tips"><p>Use few words.</p></div></article>') == f"{want}\nUse few words."
+
+
+def test_odd_pages_take_linear_time():
+    for page in (("<div>" * 10 + "</p>" * 5) * 14_000, "<p><article>" + "<div>" * 50_000 + "</p>" * 50_000, "<article><p>Text.</p>" + "<textarea>" * 90_000, "<p>x</b></i></p>" * 60_000):
+        start = time.perf_counter()
+        html_cut.main_text(page)
+        assert time.perf_counter() - start < 30  # minutes where each tag looks at all open ones
+
+
 def test_minimum_cut():
     rng = random.Random(4)
 
@@ -70,6 +95,7 @@ def test_extract_rows(spark):
     got = sorted((tuple(r) for r in html_cut.extract(df).collect()), key=str)
     text = "Hello there, this is a whole sentence of a page."
     assert got == sorted([(1, "u", text, len(text)), (1, "u", "", 0), (None, None, "", 0)], key=str)
+    assert html_cut.extract(df.where("false")).count() == 0
 
 
 def test_url_filters(spark):
@@ -166,43 +192,43 @@ def test_held_out_accuracy(spark, kind, scores, least):
     assert scores(docs.where("false"), labels).count() == 0
 
 
-def test_rare_words_keep_their_counts(spark):
-    docs = [(i, f"plain words of text number {i}" + (" zzrare zzword" if i in (1, 4) else "")) for i in range(40)]
-    train = spark.createDataFrame([(t, int("zz" in t)) for _, t in docs[:20]], "text string, label int")
-    ask = spark.createDataFrame([(1, "zzrare"), (2, "zzrare zzword"), (3, "plain words"), (4, "unseenword")], "doc_id long, text string")
-    everything = spark.createDataFrame(docs, "doc_id long, text string")
-    model, rest = toxicity.fit_counts(everything, train)
-    got = {r["doc_id"]: r["x"][0] for r in toxicity.text_features(ask, model, rest).collect()}
-    toxic, other = [t.split() for t, label in train.collect() if label], [t.split() for t, label in train.collect() if not label]
-    every = sum(len(set(t.split())) for _, t in docs)
-
-    def p(word, before, side):
-        c = sum(len(set(t)) for t in side)
-        keep = 0.75 * len({w for t in side for w in t}) / c
-        n = sum(word in t for t in side)
-        own = max(n - 0.75, 0) / c + keep * (sum(word in t.split() for _, t in docs) or 1) / every
-        pairs = [set(zip([None] + t, t)) for t in side]
-        after = {}
-        for x in pairs:
-            for a, b in x:
-                if a == before:
-                    after[b] = after.get(b, 0) + 1
-        size = max(sum(before in t for t in side), sum(after.values())) + 1
-        left = max(1 - sum(n - 0.75 for n in after.values()) / size, 1e-3)
-        return max(after.get(word, 0) - 0.75, 0) / size + left * own
-
-    ratio = lambda *ws: np.mean([np.log(p(w, b, toxic) / p(w, b, other)) for b, w in zip((None, *ws), ws)])
-    for i, t in ((1, "zzrare"), (2, "zzrare zzword"), (3, "plain words"), (4, "unseenword")):
-        assert got[i] == pytest.approx(ratio(*t.split()))
-    assert got[2] > 2 > got[3]
+def _kneser_ney(texts, others, word, before):
+    """p(word | before) in the class of ``texts``, as the textbook has it; pairs count once per text, both classes share the last order."""
+    c = Counter(p for t in texts for p in set(zip([None] + t, t)))
+    shared = set(c) | {p for t in others for p in zip([None] + t, t)}
+    follow = Counter(w for _, w in c)
+    q = sum(w == word for _, w in shared) / len(shared)
+    own = max(follow[word] - 0.75, 0) / len(c) + 0.75 * len(follow) / len(c) * q
+    size = sum(n for (u, _), n in c.items() if u == before)
+    if not size:
+        return own
+    kinds = sum(u == before for u, _ in c)
+    return max(c[before, word] - 0.75, 0) / size + 0.75 * kinds / size * own
+
+
+def test_models_are_kneser_ney(spark):
+    rng = random.Random(3)
+    texts = [(" ".join(rng.choices(["a", "b", "c", "dd", "e"], [5, 3, 2, 1, 1], k=rng.randint(1, 8))) + (" zz yy" if i % 4 == 0 else ""), int(i % 3 == 0)) for i in range(40)]
+    train = spark.createDataFrame(texts, "text string, label int").repartition(3)
+    asked = ["a b c", "zz yy", "yy zz a", "dd", "c c e a b", "zz"]
+    ask = spark.createDataFrame([*enumerate(asked), (0, "a b c"), (0, "zz"), (6, "")], "doc_id long, text string")
+    model, rest = toxicity.fit_counts(train)
+    got = sorted((r["doc_id"], r["x"][0]) for r in toxicity.text_features(ask, model, rest).collect())
+    toxic, other = ([t.split() for t, y in texts if y == k] for k in (1, 0))
+    words = set("a b c dd e zz yy".split())
+    for side, rest_of in ((toxic, other), (other, toxic)):
+        assert sum(_kneser_ney(side, rest_of, w, "a") for w in words) == pytest.approx(1)
+    ratio = lambda ws: np.mean([np.log(_kneser_ney(toxic, other, w, b) / _kneser_ney(other, toxic, w, b)) for b, w in zip([None, *ws], ws)])
+    want = sorted([(i, ratio(t.split())) for i, t in enumerate(asked)] + [(0, ratio(["a", "b", "c"])), (0, ratio(["zz"])), (6, 0.0)])
+    assert [i for i, _ in got] == [i for i, _ in want] and [x for _, x in got] == pytest.approx([x for _, x in want])
 
 
 def test_counts_grow_with_the_texts(spark):
     # 200,000 labelled texts: a share of them would ask for four texts a word
     train = spark.range(200_000).selectExpr("case when id < 3 then 'zzrare zzword' else 'plain' end as text", "int(id < 100) as label")
-    model, _ = toxicity.fit_counts(train, train)
-    assert model.where("is_word").count() == 4 and model.where("not is_word").count() == 3
-    assert model.where("not is_word and v_1 = 3 and v_0 = 0").count() == 2
+    model, _ = toxicity.fit_counts(train)
+    assert model.where("x is not null").count() == 4 and model.where("x is null").count() == 3
+    assert model.where(f"x is null and n = {3 << 32}").count() == 2
 
 
 def test_second_word_of_a_pair():
