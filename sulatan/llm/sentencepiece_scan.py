@@ -88,8 +88,9 @@ class Pieces:
         """Best pieces of many short units: ids, their offsets, and which units are plain.
 
         The tree is walked from all characters together; the best scores are
-        then taken by distance from the unit's end. Units with a character
-        that begins no piece, or two ways that score alike, are not plain.
+        then taken by distance from the unit's end. A character that begins no
+        piece gives the id -1 less its code. Units with two ways that score
+        alike are not plain.
         """
         size = ends - starts
         at = np.concatenate([[0], np.cumsum(size)])
@@ -113,11 +114,12 @@ class Pieces:
         plain = np.ones(len(size), bool)
         some = np.zeros(at[-1], bool)
         some[begin] = True
-        plain[unit[~some]] = False
-        keep = plain[unit[begin]]
-        begin, to, long = begin[keep], to[keep], long[keep]
+        alone = np.flatnonzero(~some)
+        own_code = code[starts[unit[alone]] + place[alone]].astype(np.int64)
+        begin, long = np.append(begin, alone), np.append(long, np.ones(len(alone), np.int64))
+        weight, which = np.append(self.node_weight[to], np.full(len(alone), self.unknown)), np.append(self.node_piece[to], -1 - own_code)
         order = np.lexsort((begin, left[begin]))
-        begin, to, long = begin[order], to[order], long[order]
+        begin, long, weight, which = begin[order], long[order], weight[order], which[order]
         best = np.zeros(at[-1] + 1, np.int64)
         step, piece = np.zeros(at[-1], np.int64), np.zeros(at[-1], np.int64)
         bounds = np.searchsorted(left[begin], np.arange(1, int(size.max()) + 2))
@@ -125,13 +127,13 @@ class Pieces:
             if lo == hi:
                 continue
             own, reach, last = begin[lo:hi], long[lo:hi], left[begin[lo]]
-            score = self.node_weight[to[lo:hi]] + np.where(reach < last, best[own + reach], 0)
+            score = weight[lo:hi] + np.where(reach < last, best[own + reach], 0)
             first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
             top = np.maximum.reduceat(score, first)
             is_top = score == np.repeat(top, np.diff(np.append(first, hi - lo)))
             plain[unit[own[first[np.add.reduceat(is_top, first) > 1]]]] = False
             best[own[first]] = top
-            step[own[is_top]], piece[own[is_top]] = reach[is_top], self.node_piece[to[lo:hi][is_top]]
+            step[own[is_top]], piece[own[is_top]] = reach[is_top], which[lo:hi][is_top]
         now, rows, ids = at[:-1][plain & (size > 0)], [], []
         while len(now):
             rows.append(unit[now])
@@ -246,10 +248,17 @@ class Pieces:
         short = new[size <= SHORT_UNIT]
         if len(short):
             flat, spot, plain = self.units_at_once(code, starts[first[short]], ends[first[short]])
-            raw = flat.tobytes()
-            for k, a, b, ok in zip(short.tolist(), (spot[:-1] * 4).tolist(), (spot[1:] * 4).tolist(), plain.tolist()):
-                if ok:
-                    ids[k] = raw[a:b]
+            raw, odd = flat.tobytes(), np.zeros(len(short), bool)
+            odd[np.searchsorted(spot, np.flatnonzero(flat < 0), "right") - 1] = True
+            for k, a, b, ok, unknown in zip(short.tolist(), spot[:-1].tolist(), spot[1:].tolist(), plain.tolist(), odd.tolist()):
+                if unknown:
+                    got = [[i] if i >= 0 else [self.byte[x] for x in chr(-1 - i).encode()] for i in flat[a:b].tolist()]
+                    ids[k] = np.array([i for part in got for i in part], np.int32).tobytes()
+                elif ok:
+                    ids[k] = raw[4 * a : 4 * b]
+                else:  # ways that score alike
+                    part = text[starts[first[k]] : ends[first[k]]]
+                    ids[k] = np.array(self.path(part, 0, self.backward(part, len(part), len(part))[2], len(part)), np.int32).tobytes()
         for k, n in zip(new.tolist(), size.tolist()):
             if ids[k] is None:
                 f = first[k]
